@@ -32,9 +32,9 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id AS node, doc_id AS at FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.at)
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(at) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
 """,
 }
 
