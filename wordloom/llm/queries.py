@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,13 +22,78 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+#: A stated set of URL rules.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op3_token_counts": op3_token_counts,
+    "op8_document_fingerprints": op8_document_fingerprints,
+    "op10_substring_dedup": op10_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_WORDS = "'[^\\x20\\x09-\\x0D]+'"
+
 SQL = {
+    "op1_url_filters": f"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rule, verdict, h, p) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+  ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/'))
+SELECT page_id, host, path, rule, verdict FROM (
+  SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.verdict, 'allow') AS verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)) WHERE k = 1
+""",
+    "op10_substring_dedup": f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+s AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+    regexp_extract_all(translate(line, {_AZ}), {_WORDS}) AS w FROM l),
+u AS (
+  SELECT doc_id, n, a, a + length(line) AS b, len(w) AS words, array_to_string(w, ' ') AS d,
+    row_number() OVER (PARTITION BY doc_id ORDER BY n) AS unit FROM s WHERE len(w) > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id, unit) AS k FROM u),
+g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM f WHERE k > 1),
+t AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM g),
+x AS (
+  SELECT s.doc_id, string_agg(CASE WHEN t.doc_id IS NULL THEN s.line END, chr(10) ORDER BY s.n) AS text, count(*) AS n_lines, count(t.doc_id) AS n_removed,
+    coalesce(string_agg(t.a || '-' || t.b, ',' ORDER BY t.n), '') AS removed
+  FROM s LEFT JOIN (SELECT * FROM t WHERE total >= 20) t ON t.doc_id = s.doc_id AND t.n = s.n GROUP BY s.doc_id)
+SELECT doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN x USING (doc_id)
+""",
     "op6_ngram_join": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
