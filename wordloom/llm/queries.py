@@ -16,6 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+    from .shared import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -33,18 +48,37 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_documents
 
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_binary import tokenise
+
+    return tokenise(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -53,10 +87,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_source_mixing": op2_source_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_toxicity": op7_toxicity,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_token_binary": op9_token_binary,
     "op10_substring_dedup": op10_substring_dedup,
-    "op6_ngram_join": op6_ngram_join,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -42,8 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of DataFrames that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,3 +63,25 @@ def held_out(doc_id) -> F.Column:
     A null id counts as the empty text.
     """
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3) == 1
+
+
+def sample_rows(rows: DataFrame, label: str, each: int, most: int, key: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list]:
+    """About ``each`` rows of every value of ``label`` (its ``most`` commonest values), chosen by a hash of ``key``; the values."""
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()
+    if not counts:
+        return rows.limit(0), []
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r[1]))])
+    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
+    return rows.where(draw < F.try_element_at(share, F.col(label))).dropDuplicates(list(key)).limit(2 * each * len(counts)), sorted(r[0] for r in counts)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> DataFrame:
+    """``doc_id, text, label`` of about ``each`` labelled documents of every value, none of them held out.
+
+    The ids are drawn from ``labels`` and, being at most twice ``each`` a value, broadcast to the
+    documents, whose texts don't move. A document with several labels has the greatest.
+    """
+    marked = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias(label))
+    drawn, _ = sample_rows(marked.where(F.col(label).isNotNull()), label, each, 16, ("doc_id",))
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
+    return found.dropDuplicates(["doc_id"])

@@ -8,6 +8,7 @@ ids. Tokenizers of another kind encode each text whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 from functools import lru_cache
 
@@ -32,47 +33,127 @@ def load(path: str):
     return tokenizer, pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind.get("normalizer") is None and added
 
 
+def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each byte surely is no white space: a plain solid byte, or a letter of the block that begins with byte C3."""
+    last, before = data[at], data[np.maximum(at - 1, 0)]
+    return (last > 32) & (last < 127) | (last >= 128) & (last < 192) & (before == 0xC3) & (at > 0)
+
+
 def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces begin: rows, and single blanks between a solid character and one that isn't white."""
     n = len(buf)
     blank = np.flatnonzero(buf[1 : n - 1] == 32) + 1 if n > 2 else np.zeros(0, np.int64)
-    before, after = buf[blank - 1], buf[blank + 1]
-    # Only plain solid bytes, and letters of the block that begins with byte C3, surely are no white space.
-    solid = (before > 32) & (before < 127) | (before >= 128) & (before < 192) & (buf[np.maximum(blank - 2, 0)] == 0xC3) & (blank > 1)
-    blank = blank[solid & ~BLANK[after]]
-    return np.union1d(blank, offsets[:-1])
+    return np.union1d(blank[_solid(buf, blank - 1) & ~BLANK[buf[blank + 1]]], offsets[:-1])
+
+
+class Pieces:
+    """Ids of the pieces seen so far in this worker. Emptied at ``MOST`` pieces."""
+
+    MOST, JOINED = 1_000_000, 1 << 16
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        #: Bytes of each id: a byte-level token has a character for each byte.
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes[i] = len(token.encode()) if token in added else len(token)
+        self.clear()
+
+    def clear(self):
+        self.keys, self.base, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def add(self, buf: np.ndarray, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes new pieces; ``keys`` are sorted and not yet held.
+
+        Pieces that begin with their blank and end solidly are encoded many in one text: there the
+        tokenizer cuts between them, and the ids' bytes tell which piece they belong to.
+        """
+        joined = (buf[starts] == 32) & (ends - starts > 1) & _solid(buf, ends - 1)
+        joined &= ~BLANK[buf[np.minimum(starts + 1, len(buf) - 1)]]
+        one, many = np.flatnonzero(~joined), np.flatnonzero(joined)
+        ids, size = self._encoded([data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        flat, sizes = [ids], np.zeros(len(keys), np.int64)
+        sizes[one] = size
+        if len(many):
+            length = ends[many] - starts[many]
+            total = np.cumsum(length)
+            text = b"".join(data[a:b] for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True))
+            stop = total[np.unique(np.append(np.searchsorted(total, np.arange(self.JOINED, total[-1], self.JOINED)), len(total) - 1))]
+            ids, _ = self._encoded([text[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)])
+            reach = np.cumsum(self.bytes[ids])
+            edge = np.searchsorted(reach, total)
+            if not len(reach) or (reach[np.minimum(edge, len(reach) - 1)] != total).any():
+                raise ValueError("the tokenizer joins what pieces keep apart")
+            flat.append(ids)
+            sizes[many] = np.diff(np.concatenate([[0], edge + 1]))
+        order = np.concatenate([one, many])
+        base = np.empty(len(keys), np.int64)
+        base[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
+        self.flat = np.concatenate([self.flat, *flat])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.base, self.size = np.insert(self.keys, place, keys), np.insert(self.base, place, base), np.insert(self.size, place, sizes)
+
+
+@lru_cache(maxsize=2)
+def _held(path: str) -> Pieces:
+    return Pieces(load(path)[0])
+
+
+def _whole(column: pa.Array, tokenizer):
+    """Each chunk's rows encoded whole, for tokenizers whose pieces can't be cut."""
+    for first, last, _, _ in rows(column):
+        found = tokenizer.encode_batch([x or "" for x in column.slice(first, last - first).to_pylist()], add_special_tokens=False)
+        at = np.concatenate([[0], np.cumsum([len(x.ids) for x in found])])
+        pairs = np.array([p for x in found for p in x.offsets], np.int64).reshape(-1, 2)
+        yield first, np.array([i for x in found for i in x.ids], np.uint32), at, pairs[:, 0], pairs[:, 1]
 
 
 def encode(column: pa.Array, path: str, spans: bool = False):
     """For each chunk of a string column: first row, ids, each row's first id, and with ``spans`` the ids' code-point spans.
 
-    Yields ``(first, ids, at, begin, end)``; ``begin`` and ``end`` are None without ``spans``.
+    Yields ``(first, ids, at, begin, end)``; ``begin`` and ``end`` are None without ``spans``. An id
+    that holds part of a character spans the whole character.
     """
-    tokenizer, pieces = load(path)
-    run = tokenizer.encode_batch if spans else tokenizer.encode_batch_fast
+    tokenizer, cut = load(path)
+    if not cut:
+        yield from _whole(column, tokenizer)
+        return
+    held = _held(path)
     for first, _, buf, offsets in rows(column):
         data = buf.tobytes()
-        starts = _cuts(buf, offsets) if pieces else np.unique(offsets[:-1])
+        starts = _cuts(buf, offsets)
         starts = starts[starts < len(buf)]
-        ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         if not len(starts):
             yield first, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), *((np.zeros(0, np.int64),) * 2 if spans else (None, None))
             continue
-        _, one, which = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        found = run([data[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], add_special_tokens=False)
-        lists = [x.ids for x in found]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        base = np.concatenate([[0], np.cumsum(size)])
+        ends = np.append(starts[1:], len(buf))
+        keys, one, which = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(held.keys) + len(keys) > held.MOST:
+            held.clear()
+        place = np.searchsorted(held.keys, keys)
+        place[place == len(held.keys)] = 0
+        new = held.keys[place] != keys if len(held.keys) else np.ones(len(keys), bool)
+        if new.any():
+            held.add(buf, data, keys[new], starts[one[new]], ends[one[new]])
+            place = np.searchsorted(held.keys, keys)
+        base, size = held.base[place], held.size[place]
         count = size[which]
         at = np.concatenate([[0], np.cumsum(count)])
-        place = np.repeat(base[which] - at[:-1], count) + np.arange(at[-1])
+        ids = held.flat[np.repeat(base[which] - at[:-1], count) + np.arange(at[-1])]
         row_at = at[np.searchsorted(starts, offsets)]
         if not spans:
-            yield first, flat[place], row_at, None, None
+            yield first, ids, row_at, None, None
             continue
-        pairs = np.array([p for x in found for p in x.offsets], np.int64).reshape(-1, 2)
         points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-        row = np.searchsorted(offsets, starts, "right") - 1
-        origin = np.repeat(points[starts] - points[offsets[row]], count)
-        yield first, flat[place], row_at, pairs[place, 0] + origin, pairs[place, 1] + origin
+        size = held.bytes[ids]
+        stop = np.cumsum(size)
+        origin = np.repeat(points[offsets[:-1]], np.diff(row_at))
+        yield first, ids, row_at, points[stop - size + 1] - 1 - origin, points[stop] - origin
