@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .textkit import BLANK, rows, span_hash
+from .textkit import BLANK, distinct, rows, span_hash
 
 
 @lru_cache(maxsize=2)
@@ -43,13 +43,13 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces begin: rows, and single blanks between a solid character and one that isn't white."""
     n = len(buf)
     blank = np.flatnonzero(buf[1 : n - 1] == 32) + 1 if n > 2 else np.zeros(0, np.int64)
-    return np.union1d(blank[_solid(buf, blank - 1) & ~BLANK[buf[blank + 1]]], offsets[:-1])
+    return distinct(np.concatenate([blank[_solid(buf, blank - 1) & ~BLANK[buf[blank + 1]]], offsets[:-1]]))
 
 
 class Pieces:
     """Ids of the pieces seen so far in this worker. Emptied at ``MOST`` pieces."""
 
-    MOST, JOINED = 1_000_000, 1 << 16
+    MOST, JOINED, SLOTS = 1_000_000, 1 << 15, 20
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -62,13 +62,48 @@ class Pieces:
         self.clear()
 
     def clear(self):
-        self.keys, self.base, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        #: Sorted keys and the entry of each; of each entry the place and number of its ids in ``flat``.
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        #: A slot holds the last key that came to it, so that common pieces are found without a search.
+        self.slot_key, self.slot_entry = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
+
+    def find(self, buf: np.ndarray, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each piece; pieces not held yet are encoded."""
+        slot = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        entry = self.slot_entry[slot]
+        miss = np.flatnonzero((self.slot_key[slot] != keys) | (keys == 0))
+        if not len(miss):
+            return entry
+        own, one, which = np.unique(keys[miss], return_index=True, return_inverse=True)
+        if len(self.keys) + len(own) > self.MOST and len(self.keys):
+            self.clear()
+            return self.find(buf, data, keys, starts, ends)
+        place = np.searchsorted(self.keys, own)
+        place[place == len(self.keys)] = 0
+        new = self.keys[place] != own if len(self.keys) else np.ones(len(own), bool)
+        if new.any():
+            at = miss[one[new]]
+            self.add(buf, data, own[new], starts[at], ends[at])
+            place = np.searchsorted(self.keys, own)
+        found = self.entry[place]
+        entry[miss] = found[which]
+        slot = (own >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        self.slot_key[slot], self.slot_entry[slot] = own, found
+        # Two keys of one slot: the last one written is the slot's key, and so is its entry.
+        return entry
 
     def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())), size
+        """Ids and their number of each text. A few texts at a time: the library's results are many times as large as the ids."""
+        ids, size, low, weight = [np.zeros(0, np.uint32)], [], 0, 0
+        for i, t in enumerate(texts):
+            weight += len(t)
+            if weight >= 4 * self.JOINED or i + 1 == len(texts):
+                found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[low : i + 1]], add_special_tokens=False)]
+                size += map(len, found)
+                ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+                low, weight = i + 1, 0
+        return np.concatenate(ids), np.array(size, np.int64)
 
     def add(self, buf: np.ndarray, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encodes new pieces; ``keys`` are sorted and not yet held.
@@ -86,7 +121,7 @@ class Pieces:
             length = ends[many] - starts[many]
             total = np.cumsum(length)
             text = b"".join(data[a:b] for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True))
-            stop = total[np.unique(np.append(np.searchsorted(total, np.arange(self.JOINED, total[-1], self.JOINED)), len(total) - 1))]
+            stop = total[distinct(np.append(np.searchsorted(total, np.arange(self.JOINED, total[-1], self.JOINED)), len(total) - 1))]
             ids, _ = self._encoded([text[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)])
             reach = np.cumsum(self.bytes[ids])
             edge = np.searchsorted(reach, total)
@@ -98,8 +133,10 @@ class Pieces:
         base = np.empty(len(keys), np.int64)
         base[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
         self.flat = np.concatenate([self.flat, *flat])
+        entry = np.arange(len(self.base), len(self.base) + len(keys), dtype=np.int32)
+        self.base, self.size = np.concatenate([self.base, base]), np.concatenate([self.size, sizes.astype(np.int32)])
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.base, self.size = np.insert(self.keys, place, keys), np.insert(self.base, place, base), np.insert(self.size, place, sizes)
+        self.keys, self.entry = np.insert(self.keys, place, keys), np.insert(self.entry, place, entry)
 
 
 @lru_cache(maxsize=2)
@@ -135,19 +172,10 @@ def encode(column: pa.Array, path: str, spans: bool = False):
             yield first, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), *((np.zeros(0, np.int64),) * 2 if spans else (None, None))
             continue
         ends = np.append(starts[1:], len(buf))
-        keys, one, which = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(held.keys) + len(keys) > held.MOST:
-            held.clear()
-        place = np.searchsorted(held.keys, keys)
-        place[place == len(held.keys)] = 0
-        new = held.keys[place] != keys if len(held.keys) else np.ones(len(keys), bool)
-        if new.any():
-            held.add(buf, data, keys[new], starts[one[new]], ends[one[new]])
-            place = np.searchsorted(held.keys, keys)
-        base, size = held.base[place], held.size[place]
-        count = size[which]
+        entry = held.find(buf, data, span_hash(buf, starts, ends), starts, ends)
+        base, count = held.base[entry], held.size[entry]
         at = np.concatenate([[0], np.cumsum(count)])
-        ids = held.flat[np.repeat(base[which] - at[:-1], count) + np.arange(at[-1])]
+        ids = held.flat[np.repeat(base - at[:-1], count) + np.arange(at[-1])]
         row_at = at[np.searchsorted(starts, offsets)]
         if not spans:
             yield first, ids, row_at, None, None
