@@ -13,7 +13,7 @@ from ..operators import decoding, stitching, timeline
 from ..operators import words as wt
 from ..sources import exports
 from ..streaming import windows
-from .helpers import asof_join, ordered_concat
+from .helpers import asof_join, range_join
 
 #: Seconds a frame where events are words: their gaps are hours.
 FRAME = 1000.0
@@ -504,7 +504,75 @@ def flagship(spark, d):
     return wt.statistics(wt.build_words(stitched, reference), holes=holes)
 
 
+def pad_samples(spark, d):
+    s = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, (F.col("vec_id") % 60 + 1).cast("int")).alias("x"))
+    padded = timeline.pad(F.col("x"), F.lit(64))
+    return s.select("vec_id", F.size(padded).alias("n"), F.get(padded, F.lit(63)).cast("double").alias("last"), F.get(padded, F.lit(0)).cast("double").alias("first"))
+
+
+def mono_channels(spark, d):
+    halves = F.array(*[F.transform(F.slice("embedding", k, 32), lambda v: v.cast("double")) for k in (1, 33)])
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(timeline.mono_arrays(halves)).alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+def resample_samples(spark, d):
+    s = table(spark, d, "embeddings").select("vec_id", F.lit(16000).alias("rate"), F.col("embedding").alias("samples"))
+    return timeline.resample(s, target=8000).select("vec_id", "rate", F.size("samples").alias("n"))
+
+
+def frame_peaks(spark, d):
+    s = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+    return timeline.frame_peaks(s, ["vec_id"], rate=100, frame=0.1, hop=0.05).withColumn("peak", F.round("peak", 6))
+
+
+def speech_cuts(spark, d):
+    s = order_intervals(spark, d)
+    cuts = timeline.speech_to_cuts(s, s.select("recording_id").distinct().withColumn("total", F.lit(2600.0)), ["recording_id"], padding=2.0, keep=5.0)
+    return cuts
+
+
+def chained_maps(spark, d):
+    """Times through two cuts, forward and back."""
+    first = order_intervals(spark, d)
+    second = first.withColumn("start", F.col("start") / 2).withColumn("end", F.col("end") / 2)
+    there = timeline.compose_maps(order_times(spark, d), [first, second], ["recording_id"], backward=False)
+    return timeline.compose_maps(there.withColumn("there", F.col("time")), [first, second], ["recording_id"]).select("recording_id", "o_orderkey", "there", F.col("time").alias("back"))
+
+
+def phones_in_words(spark, d):
+    """Every event time of a user, in the word of its timeline that holds it."""
+    w = timed_words(spark, d).select("recording_id", "index", wt.seconds(F.col("start_frame"), FRAME).alias("a"), wt.seconds(F.col("end_frame"), FRAME).alias("z"))
+    p = table(spark, d, "events").select(F.col("user_id").alias("recording_id"), "event_id", (micros("ts") / 1e6 + 2000).alias("at"))
+    return range_join(p, w, ["recording_id"], "at", "a", "z", 20 * FRAME).select("recording_id", "event_id", "index")
+
+
+def pronounce(spark, d):
+    from ..functions.tokenizers import PhonemeTokenizer
+
+    known = text.word_table(table(spark, d, "benchmark"), "item_id").select("normalized").distinct()
+    spelled = F.filter(F.split("normalized", ""), lambda c: c != "")
+    lexicon = known.select(F.col("normalized").alias("word"), F.array(spelled, F.transform(spelled, lambda c: F.concat(c, F.lit("1"))), F.reverse(spelled)).alias("prons"))
+    ws = text.word_table(table(spark, d, "documents")).groupBy(F.col("normalized").alias("word")).agg(F.count("*").alias("n"))
+    out = PhonemeTokenizer(LABELS).pronounce(ws, lexicon, most=2)
+    return out.select("word", "n", F.size("prons").alias("n_prons"), F.array_join(F.get("prons", F.lit(0)), " ").alias("first"))
+
+
+def decode_styles(spark, d):
+    ids = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda v: F.pmod(F.floor(v * 100), F.lit(4)).cast("int")).alias("ids"))
+    names = ["a", "|", "▁", "b"]
+    return ids.select("vec_id", *[labels.decode_ids(F.col("ids"), names, style).alias(style) for style in ("plain", "pipe", "subword", "shifted")])
+
+
+def built_words(spark, d):
+    """Words of stitched tokens, whose starts and scores are those of their first marks."""
+    stitched, _ = stitching.stitch_lis(item_tokens(spark, d))
+    reference = stitched.where("wid is not null").select("recording_id", F.col("wid").cast("int").alias("idx")).distinct().withColumn("original", F.concat(F.lit("W"), F.col("idx").cast("string"))).withColumn("normalized", F.lower("original"))
+    out = wt.build_words(stitched, reference)
+    return out.select("recording_id", "index", "word", "start_frame", "end_frame", F.round("score", 6).alias("score"), "original")
+
+
 QUERIES = {f.__name__: f for f in (
+    pad_samples, mono_channels, resample_samples, frame_peaks, speech_cuts, chained_maps, phones_in_words, pronounce, decode_styles, built_words,
     normalize_basic, mms_words, mms_text, unknown_rate_by_lang, word_count_invariant, number_classes, expand_numbers, expanded_text, split_characters, romanize_aligned,
     char_encode, char_roundtrip, html_text, source_kinds, recover_original, vocabulary, statistics_by_source,
     segment_windows, sliding_counts, event_sessions, silent_runs, silence_cuts, merge_intervals, flip_intervals, time_map, map_to_original, map_to_new, round_trip_times, asof_events, normalize_peak, to_mono,

@@ -111,7 +111,27 @@ tt AS (SELECT conv_id AS recording_id, arg_min(CASE WHEN role = 'user' THEN text
   FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
 tp AS (SELECT recording_id, {_WORDS.replace('text', "coalesce(ua, '')")} AS a, {_WORDS.replace('text', "coalesce(ub, '')")} AS b FROM tt)"""
 
+_FLIPPED = "fl AS (SELECT recording_id, e AS a, coalesce(lead(s) OVER (PARTITION BY recording_id ORDER BY s), 2600.0) AS z FROM mi UNION ALL SELECT recording_id, 0.0, min(s) FROM mi GROUP BY recording_id)"
+_CODES = "list_transform(embedding[1:12], lambda v: CAST(((CAST(floor(CAST(v AS FLOAT) * 100) AS BIGINT) % 4) + 4) % 4 AS INTEGER))"
+
+
+def _decoded(offset: int) -> str:
+    return f"array_to_string(list_transform(ids, lambda i: coalesce(['a', '|', '▁', 'b'][i + 1 - {offset}], '')), '')"
+
+
+def _blanked(decoded: str, mark: str) -> str:
+    return f"trim(regexp_replace(replace({decoded}, '{mark}', ' '), ' +', ' ', 'g'))"
+
+
 SQL = {
+    "pad_samples": "SELECT vec_id, 64 AS n, CASE WHEN vec_id % 60 + 1 >= 64 THEN CAST(embedding[64] AS DOUBLE) ELSE 0.0::DOUBLE END AS last, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings",
+    "mono_channels": "SELECT vec_id, i, round((CAST(embedding[i + 1] AS DOUBLE) + CAST(embedding[i + 33] AS DOUBLE)) / 2, 6) AS v FROM embeddings, range(0, 32) t(i)",
+    "resample_samples": "SELECT vec_id, 8000 AS rate, 32 AS n FROM embeddings",
+    "frame_peaks": "SELECT vec_id, k AS frame, round(list_max(list_transform(embedding[k * 5 + 1:k * 5 + 10], lambda v: abs(CAST(v AS DOUBLE)))), 6) AS peak FROM embeddings, range(0, 11) t(k)",
+    "speech_cuts": f'WITH {_INTERVALS}, {_FLIPPED} SELECT recording_id, CAST(a + 2 AS DOUBLE) AS start, CAST(z - 2 AS DOUBLE) AS "end" FROM fl WHERE z > a AND z - a - 4 >= 5',
+    "phones_in_words": f"WITH {_EVENTS}, p AS (SELECT user_id AS recording_id, event_id, epoch_us(ts) / 1e6 + 2000 AS t FROM events) SELECT p.recording_id, event_id, index FROM p JOIN tw ON p.recording_id = tw.recording_id AND t >= start_frame * 1000.0::DOUBLE AND t < end_frame * 1000.0::DOUBLE",
+    "pronounce": f"WITH k AS (SELECT DISTINCT unnest({_MMS_LIST}) AS word FROM benchmark), w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_MMS_LIST}) AS word FROM documents) GROUP BY word) SELECT w.word, n, CASE WHEN k.word IS NULL THEN 1 ELSE least(2, len(list_distinct([w.word, reverse(w.word)]))) END AS n_prons, CASE WHEN k.word IS NULL THEN '*' ELSE array_to_string(string_split(w.word, ''), ' ') END AS first FROM w LEFT JOIN k ON k.word = w.word",
+    "decode_styles": f"SELECT vec_id, {_decoded(0)} AS plain, {_blanked(_decoded(0), '|')} AS pipe, {_blanked(_decoded(0), '▁')} AS subword, {_blanked(_decoded(1), '▁')} AS shifted FROM (SELECT vec_id, {_CODES} AS ids FROM embeddings)",
     "normalize_basic": f"SELECT doc_id, {_TRIM.replace('text', 'lower(text)')} AS text FROM documents",
     "mms_words": f"SELECT doc_id, idx, original, {_mms('original')} AS normalized FROM (SELECT doc_id, generate_subscripts(w, 1) - 1 AS idx, unnest(w) AS original FROM (SELECT doc_id, {_WORDS} AS w FROM documents))",
     "mms_text": f"SELECT doc_id, array_to_string({_MMS_LIST}, ' ') AS text FROM documents",
