@@ -11,25 +11,35 @@ pigeonhole) and, if that is still too little, its empty segments. Candidates are
 exact sets of 64-bit shingle hashes.
 
 Work per group. Signatures travel packed, by bucket, from each task. Sets that agree on a segment
-give a star around one of them, not all pairs. Stars that verification breaks are looked at again:
-only members that ended in different components are then compared.
+give a star around one of them, not all pairs. Where verification breaks stars, members that ended
+in different components may still be linked. Components that runs of signatures tie together are
+compared as a family, in blocks: parities of hashed slots bound the differences of all pairs of a
+block from below, the few pairs that pass are compared exactly, and only links that join components
+leave the task.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import only, partitions, release, written
-from .textkit import U64, mix, rows, shingles, word_hashes
+from .textkit import U64, distinct, mix, rows, shingles, word_hashes
 
 #: Share of documents, and their count, at which a shingle counts as frequent in the cost model.
 COST_SAMPLE, COST_COUNT, COST_MOST = 64, 4, 1 << 18
 SPREAD = 1.4
+#: Names of sets that a task remembers, to index equal sets once; all equal sets meet later anyway.
+SEEN_MOST = 500_000
+#: Shingles and rows of a block of a family, about.
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 22, 4096
 CELLS = "kind int, bucket int, a long, b long, n int, data binary"
 
 
@@ -124,9 +134,9 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
-    """Rows of kind 0 (document and set size), 1 (links of equal sets in a task) and 2 (packed signatures)."""
+    """Rows of kind 0 (document, set size and name of its set) and 2 (packed signatures of the sets that are new in this task)."""
     low = bands(1, t)
-    seen: dict[bytes, int] = {}
+    seen: set[bytes] = set()
     held: list[tuple[np.ndarray, int, np.ndarray]] = []
     weight = 0
 
@@ -151,18 +161,19 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
             words, at = word_hashes(buf, offsets)
             grams, begin = shingles(words, at, size)
             sizes = np.zeros(last - first, np.int32)
-            links: list[tuple[int, int]] = []
+            names: list[bytes | None] = [None] * len(sizes)
             for i, doc in enumerate(ids.slice(first, last - first).to_pylist()):
                 if begin[i] == begin[i + 1]:
                     continue
-                tokens = np.unique(grams[begin[i] : begin[i + 1]])
+                tokens = distinct(grams[begin[i] : begin[i + 1]])
                 sizes[i] = len(tokens)
                 if doc is None:
                     continue
-                name = np.array([len(tokens), np.bitwise_xor.reduce(tokens), tokens.sum()], U64).tobytes()
-                if (other := seen.setdefault(name, doc)) != doc:
-                    links.append((other, doc))
+                names[i] = name = np.array([len(tokens), np.bitwise_xor.reduce(tokens), tokens.sum()], U64).tobytes()
+                if name in seen:
                     continue
+                if len(seen) < SEEN_MOST:
+                    seen.add(name)
                 if low[-3] <= len(tokens):
                     low = bands(len(tokens), t)
                 place = np.searchsorted(frequent, tokens)
@@ -172,12 +183,8 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
                 weight += len(keys)
             n = last - first
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), ids.slice(first, n), none, pa.array(sizes), pa.nulls(n, pa.binary())], names=["kind", "bucket", "a", "b", "n", "data"])
-            if links:
-                a, b = (pa.array(x, pa.int64()) for x in zip(*links, strict=True))
-                n = len(links)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int32()), a, b, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["kind", "bucket", "a", "b", "n", "data"])
-            if weight > 3_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), ids.slice(first, n), none, pa.array(sizes), pa.array(names, pa.binary())], names=["kind", "bucket", "a", "b", "n", "data"])
+            if weight > 1_000_000:
                 yield from flush()
                 weight = 0
     yield from flush()
@@ -209,22 +216,22 @@ def _stars(batches):
         member, role = nodes[i : i + g], roles[i : i + g]
         if (hub := np.flatnonzero(role == 1)).size:
             hub = member[hub[0]]
-            rest = np.unique(member[member != hub])
+            rest = distinct(member[member != hub])
             edges.append(np.stack([np.full(len(rest), hub), rest], 1))
         else:
             probe, other = member[role == 3], member[role < 2]
             hub = other[0]
             edges += [np.stack([np.full(len(probe), hub), probe], 1), np.stack([other, np.full(len(other), probe[0])], 1)]
-        member = np.unique(member)
+        member = distinct(member)
         if len(member) > 2:
-            runs.setdefault(member.tobytes(), []).append(keys[i])
+            runs.setdefault(member.tobytes())
     pairs = np.unique(np.sort(np.concatenate(edges), 1), axis=0) if edges else np.zeros((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     yield pd.DataFrame({"kind": 3, "bucket": None, "a": pairs[:, 0], "b": pairs[:, 1], "n": None, "data": None}).astype({"bucket": "Int32", "n": "Int32"})
     for part in np.array_split(np.arange(len(runs)), max(1, len(runs) // 5000)):
         if len(part):
-            items = [(m, k) for j, (m, k) in enumerate(runs.items()) if part[0] <= j <= part[-1]]
-            yield pd.DataFrame({"kind": 4, "bucket": None, "a": None, "b": None, "n": [len(k) for _, k in items], "data": [np.array([len(k)], "<i8").tobytes() + np.array(k, "<u8").tobytes() + m for m, k in items]}).astype({"bucket": "Int32", "a": "Int64", "b": "Int64"})
+            items = list(itertools.islice(runs, int(part[0]), int(part[-1]) + 1))
+            yield pd.DataFrame({"kind": 4, "bucket": None, "a": None, "b": None, "n": None, "data": items}).astype({"bucket": "Int32", "a": "Int64", "b": "Int64", "n": "Int32"})
 
 
 def _sets(batches, size: int):
@@ -233,8 +240,19 @@ def _sets(batches, size: int):
         for first, last, buf, offsets in rows(batch.column("text")):
             words, at = word_hashes(buf, offsets)
             grams, begin = shingles(words, at, size)
-            data = [np.unique(grams[begin[i] : begin[i + 1]]).tobytes() for i in range(last - first)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(data, pa.binary())], names=["doc_id", "grams"])
+            data = [distinct(grams[begin[i] : begin[i + 1]]).tobytes() for i in range(last - first)]
+            yield first, pa.array(data, pa.binary())
+
+
+def _sent(batches, size: int):
+    """The set of each text, once for each place where it is compared."""
+    for batch in batches:
+        for first, grams in _sets([batch], size):
+            to = batch.column("to").slice(first, len(grams))
+            row = pa.array(np.repeat(np.arange(len(to)), to.value_lengths().to_numpy()))
+            a, salt, hub = to.flatten().flatten()
+            ids = batch.column("doc_id").slice(first, len(grams)).take(row)
+            yield pa.RecordBatch.from_arrays([a, salt, pc.if_else(hub, pa.scalar(None, pa.int64()), ids), grams.take(row)], names=["a", "salt", "b", "grams"])
 
 
 def _verify(batches, t: int):
@@ -256,32 +274,166 @@ def _verify(batches, t: int):
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "ok": good})[pdf["b"].notna()]
 
 
-def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
-    """``a, b, ok`` of every edge. Hubs with many leaves are split over tasks by a salt, each with a copy of the hub's set."""
+def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int, repeats: bool) -> DataFrame:
+    """``a, b, ok`` of every edge: whether it is a link. Hubs with many leaves are split over tasks by a salt, each with a copy of the hub's set."""
     edges = edges.withColumn("salt", (F.xxhash64("b") % 1000).cast("int"))
     load = edges.groupBy("a").agg(F.count("*").alias("leaves"))
     edges = edges.join(load, "a").withColumn("salt", F.pmod("salt", F.ceil(F.col("leaves") / 256).cast("int"))).drop("leaves")
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = written(docs.join(ends, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, size), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "sets")
-    leaves = edges.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "grams")
-    hubs = edges.select("a", "salt").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
-    rows_ = hubs.union(leaves).repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    place = lambda hub: F.struct("a", "salt", F.lit(hub).alias("hub")).alias("to")
+    places = edges.select(F.col("b").alias("doc_id"), place(False)).union(edges.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), place(True)))
+    places = places.groupBy("doc_id").agg(F.collect_list("to").alias("to"))
+    texts = docs.groupBy("doc_id").agg(F.first("text").alias("text")) if repeats else docs
+    rows_ = texts.join(places, "doc_id").mapInArrow(lambda it: _sent(it, size), "a long, salt int, b long, grams binary")
+    rows_ = rows_.repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows_.mapInPandas(lambda it: _verify(it, t), "a long, b long, ok boolean")
 
 
-def _again(table: DataFrame, checked: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that a broken star leaves open: members of one run that ended in different components."""
-    parse = lambda it: (pd.DataFrame([(x[8 : 8 + 8 * (k := int(np.frombuffer(x, "<i8", 1)[0]))], np.frombuffer(x, "<i8", offset=8 + 8 * k).tolist()) for x in pdf["data"]], columns=["keys", "members"]) for pdf in it)
-    runs = table.where("kind = 4").select("data").mapInPandas(parse, "keys binary, members array<long>")
-    broken = checked.where("not ok").select("a", "b")
-    hit = runs.withColumn("run", F.xxhash64(F.to_json("members"))).select("run", "members", F.explode("members").alias("a"))
-    hit = hit.join(broken, "a").where(F.array_contains("members", F.col("b"))).groupBy("run").agg(F.first("members").alias("members"))
-    placed = hit.select("run", F.explode("members").alias("node")).distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("run").agg(F.countDistinct("component").alias("n")).where("n > 1").select("run")
-    placed = placed.join(mixed, "run")
-    right = placed.select("run", F.col("node").alias("b"), F.col("component").alias("other"))
-    pairs = placed.select("run", F.col("node").alias("a"), "component").join(right, "run").where("a < b and component <> other").select("a", "b").distinct()
-    return pairs.join(checked, ["a", "b"], "left_anti")
+def _members(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"members": [np.frombuffer(x, "<i8") for x in pdf["data"]]})
+
+
+def _sizes(table: DataFrame) -> DataFrame:
+    """``node, n`` of every document."""
+    return table.where("kind = 0 and a is not null").groupBy(F.col("a").alias("node")).agg(F.max("n").alias("n"))
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    """``node, first`` of every document whose set an earlier one has too; ``first`` is the smallest of them."""
+    named = table.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("node"), "data")
+    firsts = named.groupBy("data").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
+    return named.join(firsts, "data").where("node <> first").select("node", "first").distinct()
+
+
+def _to_first(df: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Column ``name`` with every document as the first of its class."""
+    known = classes.select(F.col("node").alias(name), "first")
+    return df.join(known, name, "left").withColumn(name, F.coalesce("first", name)).drop("first")
+
+
+def _families(table: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, component, family`` of the sets that broken stars leave open.
+
+    A run whose members ended in different components leaves their pairs open. Components that such
+    runs tie together are a family.
+    """
+    runs = table.where("kind = 4").select("data").mapInPandas(_members, "members array<long>").withColumn("run", F.xxhash64("members"))
+    nodes = runs.groupBy("run").agg(F.first("members").alias("members")).select("run", F.explode("members").alias("node"))
+    placed = _to_first(nodes, classes, "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("run").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("run", "least")
+    placed = written(placed.join(mixed, "run").select("node", "component", "least").distinct(), "mixed")
+    ties = components(placed.select(F.col("least").alias("a"), F.col("component").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    return placed.select("node", "component").distinct().join(ties, "component")
+
+
+def _blocks_sent(batches, size: int):
+    """The set of each text, once for each pair of blocks that it is in."""
+    for batch in batches:
+        for first, grams in _sets([batch], size):
+            to = batch.column("to").slice(first, len(grams))
+            row = pa.array(np.repeat(np.arange(len(to)), to.value_lengths().to_numpy()))
+            ids = batch.column("doc_id").slice(first, len(grams)).take(row)
+            yield pa.RecordBatch.from_arrays([*to.flatten().flatten(), ids, grams.take(row)], names=["family", "i", "j", "block", "component", "node", "grams"])
+
+
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """For each of at least four slots a shingle, whether it holds an odd number: packed in 64-bit words."""
+    width = 1 << max(8, int(4 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & U64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(U64)
+
+
+def _folded(parities: list[np.ndarray], words: int) -> np.ndarray:
+    """All at the same number of words: the halves of a larger one are added up modulo 2."""
+    out = np.empty((len(parities), words), U64)
+    for row, p in zip(out, parities, strict=True):
+        np.bitwise_xor.reduce(p.reshape(-1, words), axis=0, out=row)
+    return out
+
+
+def block_links(nodes: list[int], parts: list[int], sides: list[int], sets: list[np.ndarray], t: int) -> list[tuple[int, int]]:
+    """Links that join components of a pair of blocks (sides 0 and 1; one block alone has side 0).
+
+    Two sets differ at least in as many shingles as their slots differ in parity, which rules out
+    nearly all pairs by a count of bits. The others are compared exactly, the likeliest first, unless
+    links joined them before.
+    """
+    size, side = np.array([len(x) for x in sets]), np.array(sides)
+    parities = [_parities(g) for g in sets]
+    roots = {p: p for p in parts}
+
+    def root(p: int) -> int:
+        while roots[p] != p:
+            roots[p] = p = roots[roots[p]]
+        return p
+
+    order = np.argsort(size, kind="stable")
+    rows_, cols = (order[side[order] == 0], order[side[order] == 1]) if side.any() else (order, order)
+    links, k = [], 0
+    while k < len(rows_):
+        # Rows of like size, and the columns whose size allows a link.
+        end = min(k + 64, int(np.searchsorted(size[rows_], max(size[rows_[k]] * 5 // 4, size[rows_[k]] + 1), "right")))
+        mine, k = rows_[k:end], end
+        near = cols[np.searchsorted(size[cols], -(-size[mine[0]] * t // 100)) : np.searchsorted(size[cols], size[mine[-1]] * 100 // t, "right")]
+        if not len(near):
+            continue
+        words = min(len(parities[mine[0]]), len(parities[near[0]]))
+        left = _folded([parities[i] for i in mine], words)
+        now = {p: root(p) for p in set(parts)}
+        now = np.array([now[p] for p in parts])
+        step = max(1, (1 << 21) // (words * len(mine)))
+        found = []
+        for c in range(0, len(near), step):
+            part = near[c : c + step]
+            apart = np.bitwise_count(left[:, None, :] ^ _folded([parities[i] for i in part], words)[None]).sum(2, dtype=np.int64)
+            a, b = np.nonzero((apart <= difference(size[mine][:, None] + size[part], t)) & (now[mine][:, None] != now[part]))
+            found.append(np.stack([mine[a], part[b], apart[a, b]], 1))
+        found = np.concatenate(found)
+        for p, q, _ in found[np.argsort(found[:, 2] / (size[found[:, 0]] + size[found[:, 1]]), kind="stable")].tolist():
+            x, y = root(parts[p]), root(parts[q])
+            if x == y:
+                continue
+            merged = np.sort(np.concatenate([sets[p], sets[q]]))
+            common = int((merged[1:] == merged[:-1]).sum())
+            if 100 * common >= t * (len(merged) - common):
+                roots[max(x, y)] = min(x, y)
+                links.append((nodes[p], nodes[q]))
+    return links
+
+
+def _compare_blocks(batches, t: int):
+    """Streams rows sorted by family and pair of blocks; a group is worked on when the next one begins."""
+    key, held = None, []
+
+    def done():
+        nodes, parts, sides, sets = zip(*held, strict=True)
+        links = block_links(list(nodes), list(parts), list(sides), list(sets), t)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    for pdf in batches:
+        for family, i, j, block, component, node, grams in pdf.itertuples(index=False):
+            if (family, i, j) != key:
+                if held:
+                    yield done()
+                key, held = (family, i, j), []
+            held.append((node, component, int(block != i), np.frombuffer(grams, U64)))
+    if held:
+        yield done()
+
+
+def _within_families(families: DataFrame, table: DataFrame, docs: DataFrame, size: int, t: int, repeats: bool) -> DataFrame:
+    """All further links ``a, b`` that join components of a family. Large families are split into blocks by a hash; tasks get pairs of blocks."""
+    members = families.join(_sizes(table), "node")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int")
+    load = members.groupBy("family").agg(blocks.alias("blocks"))
+    placed = members.join(load, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    to = F.struct("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component")
+    places = placed.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(to).alias("to"))
+    texts = docs.groupBy("doc_id").agg(F.first("text").alias("text")) if repeats else docs
+    kind = "family long, i int, j int, block int, component long, node long, grams binary"
+    sent = texts.join(places, "doc_id").mapInArrow(lambda it: _blocks_sent(it, size), kind)
+    keys = ["family", "i", "j"]
+    return sent.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(lambda it: _compare_blocks(it, t), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
@@ -299,34 +451,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     buckets = partitions(spark)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COST_SAMPLE)) == 0).mapInArrow(lambda it: _sets(it, size), "doc_id long, grams binary").select("grams")
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COST_SAMPLE)) == 0).select("text")
 
     def hashes(it):
-        for pdf in it:
-            if len(pdf):
-                yield pd.DataFrame({"g": np.frombuffer(b"".join(pdf["grams"]), np.int64)})
+        for _, grams in _sets(it, size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(grams.to_pylist()), np.int64))], names=["g"])
 
-    often = sample.mapInPandas(hashes, "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COST_COUNT).orderBy(F.desc("n"), "g").limit(COST_MOST)
+    often = sample.mapInArrow(hashes, "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COST_COUNT).orderBy(F.desc("n"), "g").limit(COST_MOST)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.g for r in often.collect()], np.int64).view(U64)))
     cells = docs.mapInArrow(lambda it: _emit(it, frequent.value, buckets, size, t), CELLS)
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int"))
     table = written(cells.withColumn("bucket", spread).repartition(buckets, "bucket").mapInPandas(_stars, CELLS), "stars")
     del cells, sample, often
     release(spark)
-    equal = table.where("kind = 1").select("a", "b")
-    edges = table.where("kind = 3").select("a", "b").distinct()
-    checked = written(_checked(edges, docs, size, t), "checked")
+    classes = written(_classes(table), "classes")
+    equal = classes.select(F.col("first").alias("a"), F.col("node").alias("b"))
+    edges = _to_first(_to_first(table.where("kind = 3").select("a", "b").distinct(), classes, "a"), classes, "b")
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Sets whose sizes alone rule a link out needn't meet.
+    large = _sizes(table)
+    edges = edges.join(large.toDF("a", "n_a"), "a").join(large.toDF("b", "n_b"), "b")
+    edges = edges.where(100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")).select("a", "b")
+    repeats = table.where("kind = 0 and a is not null").agg((F.count("a") - F.count_distinct("a")).alias("n")).first().n > 0
+    checked = written(_checked(edges, docs, size, t, repeats), "checked")
     release(spark)
     links = equal.union(checked.where("ok").select("a", "b"))
     found = components(links)
-    while True:
-        more = written(_again(table, checked, found), "open")
-        if more.isEmpty():
-            break
-        fresh = written(_checked(more, docs, size, t), "checked")
-        checked = checked.union(fresh)
-        if not fresh.where("ok").isEmpty():
-            found = components(equal.union(checked.where("ok").select("a", "b")))
+    families = written(_families(table, classes, found), "families")
+    if not families.isEmpty():
+        more = written(_within_families(families, table, docs, size, t, repeats), "links")
+        if not more.isEmpty():
+            found = components(links.union(more))
     sizes = table.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
