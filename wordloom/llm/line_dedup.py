@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
 from .textkit import _power_tables, mix, rows, span_hash, word_spans
 
 MIN_WORDS = 20
@@ -58,7 +59,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, h, unit, line, start, end, words`` of every unit that goes; ``h`` is xxhash64 of the text, offsets are code points."""
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(_units, UNITS)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "unit")
-    firsts = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join has two plain shuffles and a hot digest's partition can be split.
+    firsts = written(units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     later = units.join(firsts, ["d1", "d2"]).where(rank > F.col("first")).drop("d1", "d2", "first").dropDuplicates(["doc_id", "h", "unit"])
     own = Window.partitionBy("doc_id", "h")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(own.orderBy("unit")))
