@@ -137,12 +137,12 @@ def emissions(low, high):
 def test_alignment_end_to_end(spark):
     transcripts = spark.createDataFrame([(1, " ".join(w for w, _, _ in TRUTH))], "recording_id long, text string")
     reference = api.prepare_transcripts(transcripts)
-    parts = [(0, 0, emissions(0, 110)), (1, 90, emissions(90, 170))]
+    parts = [(0, 0, emissions(0, 118)), (1, 94, emissions(94, 170))]
     frames = spark.createDataFrame([(1, s, t, x) for s, _, rows in parts for t, x in enumerate(rows)], "recording_id long, segment_index int, frame int, logp array<double>")
     segments = spark.createDataFrame([(1, s, o) for s, o, _ in parts], "recording_id long, segment_index int, frame_offset long")
     out = api.align(frames, reference, CHARS, segments, AlignmentConfig(drop_exits=True))
     got = out.words.orderBy("index").collect()
-    assert [(r.index, r.start_frame) for r in got] == [(i, a) for i, (_, a, _) in enumerate(TRUTH)]
+    assert [(r["index"], r.start_frame) for r in got] == [(i, a) for i, (_, a, _) in enumerate(TRUTH)]
     assert out.holes.count() == 0 and not any(r.rejected for r in out.segments.collect())
 
 

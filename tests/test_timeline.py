@@ -63,6 +63,9 @@ def test_silence(spark):
     frames = spark.createDataFrame([(1, i, 0.0 if 100 <= i < 200 else 1.0) for i in range(300)], "recording_id long, frame int, peak double")
     rows = timeline.silence_intervals(frames, ["recording_id"]).collect()
     assert [(round(r.start, 6), round(r.end, 6)) for r in rows] == [(1.1, 1.9)]
+    totals = spark.createDataFrame([(1, 2.05)], "recording_id long, total double")
+    rows = timeline.silence_intervals(frames.where("frame < 200"), ["recording_id"], totals=totals).collect()
+    assert [(round(r.start, 6), round(r.end, 6)) for r in rows] == [(1.1, 1.95)]
 
 
 def test_samples(spark):

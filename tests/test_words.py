@@ -81,7 +81,7 @@ def test_grid_round_trip(spark, six):
 def test_aligned_json(spark):
     doc = {"words": [{"word": "a", "case": "success", "start": 1.0, "end": 1.5, "phones": [{"phone": "x", "duration": 0.2}, {"phone": "y", "duration": 0.3}]}, {"word": "b", "case": "not-found-in-audio"}, {"word": "c", "case": "not-found-in-audio"}, {"word": "d", "case": "success", "start": 2.0, "end": 2.5, "phones": []}]}
     words, holes, phones = readers.parse_aligned_json(spark.createDataFrame([("s", json.dumps(doc))], "source string, text string"))
-    assert [(r.index, r.start_frame) for r in words.orderBy("index").collect()] == [(0, 100), (3, 200)]
+    assert [(r["index"], r.start_frame) for r in words.orderBy("index").collect()] == [(0, 100), (3, 200)]
     assert [(r.start_idx, r.end_idx) for r in holes.collect()] == [(1, 2)]
     assert [(r.phone, r.start_frame, r.end_frame) for r in phones.orderBy("pos").collect()] == [("x", 100, 120), ("y", 120, 150)]
 

@@ -95,10 +95,18 @@ def silent_runs(frames: DataFrame, by: list[str], order: str, silent: Column) ->
     return runs.where("_silent").groupBy(*by, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
-def silence_intervals(frames: DataFrame, by: list[str], frame: str = "frame", peak: str = "peak", hop: float = 0.01, threshold_db: float = -50.0, least: float = 0.2, padding: float = 0.1, keep: float = 0.4) -> DataFrame:
-    """Silence to cut: runs below the threshold of at least ``least`` seconds, shrunk by ``padding`` on both sides, if at least ``keep`` seconds are left."""
+def silence_intervals(frames: DataFrame, by: list[str], frame: str = "frame", peak: str = "peak", hop: float = 0.01, threshold_db: float = -50.0, least: float = 0.2, padding: float = 0.1, keep: float = 0.4, totals: DataFrame | None = None) -> DataFrame:
+    """Silence to cut: runs below the threshold of at least ``least`` seconds, shrunk by ``padding`` on both sides, if at least ``keep`` seconds are left.
+
+    With ``totals(by, total)`` a run that reaches the last frame ends with its recording.
+    """
     runs = silent_runs(frames, by, frame, F.col(peak) < 10 ** (threshold_db / 20))
-    runs = runs.select(*by, (F.col("first") * hop).alias("start"), ((F.col("last") + 1) * hop).alias("end")).where(F.col("end") - F.col("start") >= least)
+    end = (F.col("last") + 1) * hop
+    if totals is not None:
+        ends = frames.groupBy(*by).agg(F.max(frame).alias("_final"))
+        runs = runs.join(ends, by).join(totals, by)
+        end = F.when(F.col("last") == F.col("_final"), F.col("total")).otherwise(end)
+    runs = runs.select(*by, (F.col("first") * hop).alias("start"), end.alias("end")).where(F.col("end") - F.col("start") >= least)
     return runs.select(*by, (F.col("start") + padding).alias("start"), (F.col("end") - padding).alias("end")).where(F.col("end") - F.col("start") >= keep)
 
 
