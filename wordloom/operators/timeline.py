@@ -131,12 +131,12 @@ def flip_intervals(intervals: DataFrame, totals: DataFrame, by: list[str], total
     """The rest of [0, total] of every recording; one without intervals gives all of it."""
     merged = merge_intervals(intervals, by)
     ends = merged.select(*by, F.col("end").alias("start")).unionByName(totals.select(*by, F.lit(0.0).alias("start")))
-    w = Window.partitionBy(*by).orderBy("start")
     nexts = merged.select(*by, F.col("start").alias("next"))
     marks = ends.select(*by, "start", F.lit(None).cast("double").alias("next")).unionByName(nexts.select(*by, F.lit(None).cast("double").alias("start"), "next"))
     ordered = marks.withColumn("_at", F.coalesce("start", "next"))
-    w = Window.partitionBy(*by).orderBy("_at", F.col("start").isNotNull())
-    paired = ordered.withColumn("end", F.lead("next").over(w)).where(F.col("start").isNotNull())
+    # At one place a rest begins before a cut does: such a rest is empty.
+    after = Window.partitionBy(*by).orderBy("_at", F.col("start").isNull()).rowsBetween(1, Window.unboundedFollowing)
+    paired = ordered.withColumn("end", F.first("next", ignorenulls=True).over(after)).where(F.col("start").isNotNull())
     return paired.join(totals.select(*by, F.col(total).alias("_total")), by).withColumn("end", F.coalesce("end", "_total")).where(F.col("end") > F.col("start")).select(*by, "start", "end")
 
 
@@ -151,18 +151,19 @@ def time_map(intervals: DataFrame, by: list[str]) -> DataFrame:
 
 def map_to_original(times: DataFrame, intervals: DataFrame, by: list[str], time: str = "time", out: str = "original_time") -> DataFrame:
     """Times after cutting, as times before it, by an as-of lookup in the prefix table."""
-    held = asof_join(times, time_map(intervals, by), by, time, "new_time", ["new_time", "original"])
-    return held.withColumn(out, F.when(F.col("original").isNull(), F.col(time)).otherwise(F.col("original") + F.col(time) - F.col("new_time"))).drop("new_time", "original")
+    table = time_map(intervals, by).select(*by, F.col("new_time").alias("_new"), F.col("original").alias("_old"))
+    held = asof_join(times, table, by, time, "_new", ["_new", "_old"])
+    return held.withColumn(out, F.when(F.col("_old").isNull(), F.col(time)).otherwise(F.col("_old") + F.col(time) - F.col("_new"))).drop("_new", "_old")
 
 
 def map_to_new(times: DataFrame, intervals: DataFrame, by: list[str], time: str = "time", out: str = "new_time") -> DataFrame:
     """Times before cutting, as times after it; a time inside a cut goes to the cut's start."""
     merged = merge_intervals(intervals, by)
     w = Window.partitionBy(*by).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    table = merged.withColumn("cut", F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0.0))).withColumnRenamed("start", "cut_start").withColumnRenamed("end", "cut_end")
-    held = asof_join(times, table, by, time, "cut_start", ["cut_start", "cut_end", "cut"])
-    moved = F.col(time) - F.col("cut") - (F.least(F.col(time), F.col("cut_end")) - F.col("cut_start"))
-    return held.withColumn(out, F.when(F.col("cut_start").isNull(), F.col(time)).otherwise(moved)).drop("cut_start", "cut_end", "cut")
+    table = merged.select(*by, F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0.0)).alias("_cut"), F.col("start").alias("_a"), F.col("end").alias("_z"))
+    held = asof_join(times, table, by, time, "_a", ["_a", "_z", "_cut"])
+    moved = F.col(time) - F.col("_cut") - (F.least(F.col(time), F.col("_z")) - F.col("_a"))
+    return held.withColumn(out, F.when(F.col("_a").isNull(), F.col(time)).otherwise(moved)).drop("_a", "_z", "_cut")
 
 
 def compose_maps(times: DataFrame, stages: list[DataFrame], by: list[str], time: str = "time", backward: bool = True) -> DataFrame:
