@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .linear import calibrate, softmax, train_ftrl
 from .shared import held_out, sample_rows
+from .textkit import trim
 
 WIDTH = 1 << 15
 #: Rows a language that the classifier is fitted on, and languages at most.
@@ -131,6 +132,7 @@ def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", sco
                 p = softmax((weigh(*found, m.idf) @ m.weights[found[0]] + m.weights[-1]) / m.temperature)
                 names.append(m.languages[int(p.argmax())])
                 scores.append(float(p.max()))
+            trim()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
 
     return kept.mapInArrow(run, schema)

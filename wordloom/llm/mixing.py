@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .linear import calibrate, softmax, train_ftrl
 from .shared import labelled_sample, written
 from .textkit import mix as mixed
-from .textkit import rows, word_hashes
+from .textkit import rows, trim, word_hashes
 
 WIDTH = 1 << 15
 #: Labelled rows a domain that the classifier is fitted on.
@@ -97,6 +97,7 @@ def _soft(column: pa.Array, m: DomainModel):
             index, value = _features(words[at[i] : at[i + 1]])
             out[i] = (_weigh(index, value, m.idf) @ m.weights[index] + m.weights[-1]) / m.temperature + np.log(m.prior)
         yield first, np.diff(at), softmax(out)
+    trim()
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:

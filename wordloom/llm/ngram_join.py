@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import only, partitions, release, written
-from .textkit import U64, distinct, mix, rows, shingles, word_hashes
+from .textkit import U64, distinct, mix, rows, shingles, trim, word_hashes
 
 #: Share of documents, and their count, at which a shingle counts as frequent in the cost model.
 COST_SAMPLE, COST_COUNT, COST_MOST = 64, 4, 1 << 18
 SPREAD = 1.4
 #: Names of sets that a task remembers, to index equal sets once; all equal sets meet later anyway.
 SEEN_MOST = 500_000
+#: Rows of an Arrow batch of whole sets.
+SET_ROWS = 64
 #: Shingles and rows of a block of a family, about.
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 22, 4096
 CELLS = "kind int, bucket int, a long, b long, n int, data binary"
@@ -187,7 +189,9 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
             if weight > 1_000_000:
                 yield from flush()
                 weight = 0
+                trim()
     yield from flush()
+    trim()
 
 
 def _stars(batches):
@@ -232,6 +236,8 @@ def _stars(batches):
         if len(part):
             items = list(itertools.islice(runs, int(part[0]), int(part[-1]) + 1))
             yield pd.DataFrame({"kind": 4, "bucket": None, "a": None, "b": None, "n": None, "data": items}).astype({"bucket": "Int32", "a": "Int64", "b": "Int64", "n": "Int32"})
+    del keys, nodes, roles, order, edges, runs
+    trim()
 
 
 def _sets(batches, size: int):
@@ -415,7 +421,9 @@ def _compare_blocks(batches, t: int):
             if (family, i, j) != key:
                 if held:
                     yield done()
-                key, held = (family, i, j), []
+                    held.clear()
+                    trim()
+                key = (family, i, j)
             held.append((node, component, int(block != i), np.frombuffer(grams, U64)))
     if held:
         yield done()
@@ -450,7 +458,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    buckets = partitions(spark)
+    # More buckets than other shuffles have tasks: a task unpacks its signatures into arrays.
+    buckets = 3 * partitions(spark)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COST_SAMPLE)) == 0).select("text")
 
     def hashes(it):
@@ -473,13 +482,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame
     edges = edges.join(large.toDF("a", "n_a"), "a").join(large.toDF("b", "n_b"), "b")
     edges = edges.where(100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")).select("a", "b")
     repeats = table.where("kind = 0 and a is not null").agg((F.count("a") - F.count_distinct("a")).alias("n")).first().n > 0
-    checked = written(_checked(edges, docs, size, t, repeats), "checked")
+    checked = written(_checked(edges, docs, size, t, repeats), "checked", SET_ROWS)
     release(spark)
     links = equal.union(checked.where("ok").select("a", "b"))
     found = components(links)
     families = written(_families(table, classes, found), "families")
     if not families.isEmpty():
-        more = written(_within_families(families, table, docs, size, t, repeats), "links")
+        more = written(_within_families(families, table, docs, size, t, repeats), "links", SET_ROWS)
         if not more.isEmpty():
             found = components(links.union(more))
     sizes = table.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))

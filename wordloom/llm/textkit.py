@@ -6,6 +6,7 @@ arrays stay within a few dozen megabytes; a row longer than a chunk is a chunk o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,14 @@ U64 = np.uint64
 CHUNK_BYTES = 2 << 20
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; Python workers are used again by later tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of the splitmix64 generator: a bijection that spreads all bits."""
     x = x.astype(U64, copy=True)

@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, shared_path
+from .shared import partitions, shared_path, small_batches
+from .textkit import trim
 from .tokens import encode
 
 END_ID = 0
@@ -100,6 +101,7 @@ def _blocks(batches, tokenizer: str):
         base, rules, sizes, s = compress(flat)
         row = {"shard": shard, "first": first, "n_ids": len(flat), "doc_ids": list(docs), "lengths": [len(x) for x in ids], "base": base, "rules": rules.astype("<u4").tobytes(), "sizes": sizes.astype("<u4").tobytes(), "sequence": s.astype("<u4").tobytes()}
         first += len(flat)
+        trim()
         ids.clear()
         docs.clear()
         return pa.RecordBatch.from_pylist([row], schema)
@@ -119,6 +121,7 @@ def _blocks(batches, tokenizer: str):
                 held += n
     if ids:
         yield close()
+    trim()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
@@ -131,7 +134,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     placed = own.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    placed.mapInArrow(lambda it: _blocks(it, tokenizer), BLOCKS).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        placed.mapInArrow(lambda it: _blocks(it, tokenizer), BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -49,7 +49,7 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Pieces:
     """Ids of the pieces seen so far in this worker. Emptied at ``MOST`` pieces."""
 
-    MOST, JOINED, SLOTS = 1_000_000, 1 << 15, 20
+    MOST, JOINED, SLOTS = 600_000, 1 << 15, 20
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
