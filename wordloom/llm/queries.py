@@ -80,9 +80,9 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .passage_dedup import dedup_passages
 
-    return dedup_lines(_table(spark, sf_dir, "documents"))
+    return dedup_passages(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
