@@ -6,6 +6,7 @@ import re
 import pytest
 
 from wordloom.llm.passage_dedup import dedup_passages
+from wordloom.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string"
 
@@ -56,3 +57,10 @@ def test_passages_and_lines(spark):
     rows = [(1, f"{line}\na b {passage} é c"), (2, f"é\n{line}\n\nd {passage} e"), (None, f"f {passage}"), (2, f"é\n{line}\n\nd {passage} e")]
     got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in dedup_passages(spark.createDataFrame(rows, DOCS)).collect())
     assert got == sorted([("1", rows[0][1], 2, 0), ("2", "é\n\nd  e", 4, 2), ("2", "é\n\nd  e", 4, 2), ("None", "f ", 1, 1)])
+
+
+def test_query_removes_every_later_line(spark, tmp_path):
+    rows = [(1, "All rights reserved.\nfirst text"), (2, "second text\n all  rights RESERVED."), (3, "one\ntwo\none")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in QUERIES["op10_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("second text", 1), 3: ("one\ntwo", 1)}

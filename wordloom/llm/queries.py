@@ -82,7 +82,7 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passage_dedup import dedup_passages
 
-    return dedup_passages(_table(spark, sf_dir, "documents"))
+    return dedup_passages(_table(spark, sf_dir, "documents"), min_words=1)
 
 
 QUERIES = {
