@@ -75,10 +75,10 @@ def benchmark_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spoken_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the first user and assistant turn of each conversation."""
+    """All user words and all assistant words of each conversation, in turn order."""
     turns = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
-    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    return turns.groupBy(F.col("conv_id").alias("recording_id")).agg(text.words(F.coalesce(first("user"), F.lit(""))).alias("a_words"), text.words(F.coalesce(first("assistant"), F.lit(""))).alias("b_words"))
+    said = lambda role: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), " ")
+    return turns.groupBy(F.col("conv_id").alias("recording_id")).agg(text.words(said("user")).alias("a_words"), text.words(said("assistant")).alias("b_words"))
 
 
 # Queries.
