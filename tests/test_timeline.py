@@ -1,4 +1,6 @@
 import math
+import random
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wordloom.operators import timeline
+from wordloom.operators.stitching import longest_increasing
 from wordloom.plans.helpers import asof_join, range_join
 from wordloom.streaming import windows
 
@@ -100,21 +103,42 @@ def test_joins(spark):
     assert {r.t: r.v for r in range_join(left, spans, ["k"], "t", "a", "z", 2.0).collect()} == {5.0: "y", 0.5: "x"}
 
 
-def test_streams(spark, tmp_path):
-    rows = [(1, i, i % 5, 10 * i, i == 9) for i in range(10)]
-    spark.createDataFrame(rows, "recording_id long, ord int, wid long, frame long, last boolean").write.parquet(str(tmp_path / "t"))
-    stream = spark.readStream.schema("recording_id long, ord int, wid long, frame long, last boolean").parquet(str(tmp_path / "t"))
-    q = windows.stitch_stream(stream).writeStream.format("memory").queryName("stitched").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+def drained(query, seconds=120):
+    """Waits for a query that ends by itself, for so long at most."""
+    try:
+        assert query.awaitTermination(seconds), "the stream didn't end"
+    finally:
+        query.stop()
+
+
+def test_stitching_stream(spark, tmp_path):
+    rng = random.Random(4)
+    told = [(k, i, rng.randrange(40), 10 * i) for k in (1, 2) for i in range(60)]
+    for part in range(6):
+        rows = [(k, i, w if i % 7 else None, f, k == 1 and i == 59, datetime(2024, 1, 1, 0, 0, i)) for k, i, w, f in told if i // 10 == part]
+        spark.createDataFrame(rows, "recording_id long, ord int, wid long, frame long, last boolean, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    schema = "recording_id long, ord int, wid long, frame long, last boolean, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "t"))
+    drained(windows.stitch_stream(stream).writeStream.format("memory").queryName("stitched").outputMode("append").trigger(availableNow=True).start())
     got = spark.table("stitched").collect()
-    assert [r.wid for r in sorted(got, key=lambda r: r.frame)] == [0, 1, 2, 3, 4] and all(r.final for r in got)
+    for k in (1, 2):
+        rows = [(i, w, f) for r, i, w, f in told if r == k and i % 7]
+        want = [rows[j][1:] for j in longest_increasing([w for _, w, _ in rows])]
+        held = {}
+        for r in got:
+            if r.recording_id == k:
+                held[r.pos] = (r.wid, r.frame)
+        assert [held[p] for p in range(len(want))] == want
+    assert [r.wid for r in got if r.recording_id == 1 and r.final] and not any(r.final for r in got if r.recording_id == 2)
+    assert len(got) < 6 * 2 * 12
+
+
+def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00", 2.0), (1, "2024-01-01 00:00:14", 3.0)], "u int, t string, v double").withColumn("ts", F.to_timestamp("t")).drop("t")
     events.write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
-    q = windows.sliding_counts(stream, value="v").writeStream.format("memory").queryName("counts").outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
+    q = windows.sliding_counts(stream, value="v").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    drained(q)
     want = {(r.start, r.n, r.total) for r in windows.sliding_counts(events, value="v").collect()}
     assert {(r.start, r.n, r.total) for r in spark.table("counts").collect()} == want
     assert windows.sessions(events, "u", gap="10 seconds").count() == 2

@@ -46,47 +46,44 @@ def cardinal(digits: Column) -> Column:
     return F.when(bare == "", F.lit("zero")).when(F.length(bare) <= _WIDTH, let(F.lpad(bare, _WIDTH, "0"), lambda p: let(groups(p), spelled)))
 
 
+def _point(head: Column, fraction: Column) -> Column:
+    """A spelled whole part and the digits behind its point; zeros at the end count once."""
+    kept = F.regexp_replace(fraction, "0+$", "")
+    digits = F.transform(F.filter(F.split(F.when(kept == "", F.lit("0")).otherwise(kept), ""), lambda c: c != ""), lambda c: F.get(_words(UNITS), c.cast("int")))
+    return F.concat(head, F.lit(" point "), F.array_join(digits, " "))
+
+
 def decimal(text: Column) -> Column:
-    """A decimal such as 3.14, as "three point one four"; zeros at the end count once."""
-    fraction = F.regexp_replace(F.substring_index(text, ".", -1), "0+$", "")
-    fraction = F.when(fraction == "", F.lit("0")).otherwise(fraction)
-    digits = F.transform(F.filter(F.split(fraction, ""), lambda c: c != ""), lambda c: F.get(_words(UNITS), c.cast("int")))
-    return F.concat(cardinal(F.substring_index(text, ".", 1)), F.lit(" point "), F.array_join(digits, " "))
+    """A decimal such as 3.14, as "three point one four"."""
+    return _point(cardinal(F.substring_index(text, ".", 1)), F.substring_index(text, ".", -1))
 
 
-def ordinal(digits: Column) -> Column:
-    def turned(c: Column) -> Column:
-        last = F.regexp_extract(c, "([a-z]+)$", 1)
-        head = F.regexp_replace(c, "[a-z]+$", "")
-        irregular = F.try_element_at(F.create_map(*[F.lit(x) for pair in ORDINALS.items() for x in pair]), last)
-        return F.concat(head, F.coalesce(irregular, F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))), F.concat(last, F.lit("th"))))
+def _ordinal(c: Column) -> Column:
+    last = F.regexp_extract(c, "([a-z]+)$", 1)
+    head = F.regexp_replace(c, "[a-z]+$", "")
+    irregular = F.try_element_at(F.create_map(*[F.lit(x) for pair in ORDINALS.items() for x in pair]), last)
+    return F.concat(head, F.coalesce(irregular, F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))), F.concat(last, F.lit("th"))))
 
-    return let(cardinal(digits), turned)
+
+def ordinal(digits: Column) -> Column:
+    return let(cardinal(digits), _ordinal)
 
 
 def _currency(word: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for symbol, one, many, cent, cents in reversed(CURRENCIES):
-        part = strip_punctuation(word.substr(F.lit(len(symbol) + 1), F.length(word)), ".")
-        whole, rest = F.substring_index(part, ".", 1), F.rpad(F.substring_index(part, ".", -1), 2, "0")
-        zero = F.regexp_replace(whole, "^0+", "") == F.lit("1")
-        head = F.concat(cardinal(whole), F.lit(" "), F.when(zero, one).otherwise(many))
-        tail = F.concat(F.lit(" "), cardinal(rest), F.lit(" "), F.when(rest == "01", cent).otherwise(cents))
-        plain = F.replace(part, F.lit(","), F.lit(""))
-        single = F.regexp_replace(plain, "^0+", "") == F.lit("1")
-        value = F.when(part.rlike(r"^\d+\.\d+$"), F.when(rest == "00", head).otherwise(F.concat(head, tail)))
-        value = value.when(plain.rlike(r"^\d+$"), F.concat(cardinal(plain), F.lit(" "), F.when(single, one).otherwise(many)))
-        out = F.when(word.startswith(symbol), value).otherwise(out)
-    return out
+    """Singular, plural, hundredth and hundredths of the currency whose symbol begins the word, else null."""
+    names = F.create_map(*[x for symbol, *own in CURRENCIES for x in (F.lit(symbol), _words(own))])
+    return F.try_element_at(names, word.substr(F.lit(1), F.lit(1)))
+
+
+def _behind_symbol(word: Column) -> Column:
+    return word.substr(F.lit(2), F.length(word))
 
 
 def number_class(word: Column) -> Column:
     """The branch of the cascade that spells a word: currency, percent, integer, decimal, ordinal, grouped, mixed, or none."""
     bare = strip_punctuation(word)
-    money = F.lit(False)
-    for symbol, *_ in CURRENCIES:
-        part = strip_punctuation(word.substr(F.lit(len(symbol) + 1), F.length(word)), ".")
-        money = money | (word.startswith(symbol) & (part.rlike(r"^\d+\.\d+$") | F.replace(part, F.lit(","), F.lit("")).rlike(r"^\d+$")))
+    part = strip_punctuation(_behind_symbol(word), ".")
+    money = _currency(word).isNotNull() & (part.rlike(r"^\d+\.\d+$") | F.replace(part, F.lit(","), F.lit("")).rlike(r"^\d+$"))
     share = strip_punctuation(word.substr(F.lit(1), F.length(word) - 1), ".")
     return (
         F.when(bare == "", "none").when(money, "currency").when(word.endswith("%") & share.rlike(r"^\d+(\.\d+)?$"), "percent")
@@ -95,43 +92,77 @@ def number_class(word: Column) -> Column:
     )
 
 
-def expand_number(word: Column, joiner: str | None = "") -> Column:
-    """A word with its number spelled out, or the word itself. ``joiner`` takes the place of blanks and hyphens; None keeps them."""
+def _number(word: Column, kind: Column) -> Column:
+    """The digits, with or without a point, that the word's class spells."""
     bare = strip_punctuation(word)
-    share = strip_punctuation(word.substr(F.lit(1), F.length(word) - 1), ".")
-    pieces = F.transform(F.regexp_extract_all(word, F.lit("[a-zA-Z]+|[0-9]+"), F.lit(0)), lambda s: F.when(s.rlike("^[0-9]+$"), cardinal(s)).otherwise(F.lower(s)))
-    kind = number_class(word)
-    value = (
-        F.when(kind == "currency", _currency(word))
-        .when(kind == "percent", F.concat(F.when(share.contains("."), decimal(share)).otherwise(cardinal(share)), F.lit(" percent")))
-        .when(kind == "integer", cardinal(bare)).when(kind == "decimal", decimal(bare)).when(kind == "ordinal", ordinal(F.regexp_extract(bare, "^([0-9]+)", 1)))
-        .when(kind == "grouped", cardinal(F.replace(bare, F.lit(","), F.lit("")))).when(kind == "mixed", F.when(~F.exists(pieces, lambda x: x.isNull()), F.array_join(pieces, " ")))
+    part = strip_punctuation(_behind_symbol(word), ".")
+    return (
+        F.when(kind == "currency", F.replace(part, F.lit(","), F.lit(""))).when(kind == "percent", strip_punctuation(word.substr(F.lit(1), F.length(word) - 1), "."))
+        .when(kind == "ordinal", F.regexp_extract(bare, "^([0-9]+)", 1)).when(kind == "grouped", F.replace(bare, F.lit(","), F.lit(""))).when(kind.isin("integer", "decimal"), bare)
     )
-    if joiner is not None:
-        value = F.replace(F.replace(value, F.lit(" "), F.lit(joiner)), F.lit("-"), F.lit(joiner))
-    return F.coalesce(value, word)
+
+
+def _joined(value: Column, joiner: str | None) -> Column:
+    return value if joiner is None else F.replace(F.replace(value, F.lit(" "), F.lit(joiner)), F.lit("-"), F.lit(joiner))
+
+
+def expand_number(word: Column, joiner: str | None = "") -> Column:
+    """A word with its number spelled out, or the word itself. ``joiner`` takes the place of blanks and hyphens; None keeps them.
+
+    The speller stands in the expression three times only: for the whole part, for hundredths, and for the
+    pieces of a mixed word.
+    """
+
+    def spelled(p: Column) -> Column:
+        word, kind, head, whole = p["word"], p["kind"], p["head"], F.substring_index(p["number"], ".", 1)
+        fraction = F.when(p["number"].contains("."), F.substring_index(p["number"], ".", -1))
+        rest, names = F.rpad(fraction, 2, "0"), _currency(word)
+        amount = F.concat(head, F.lit(" "), F.get(names, F.when(F.regexp_replace(whole, "^0+", "") == "1", 0).otherwise(1)))
+        hundredths = F.concat(F.lit(" "), cardinal(rest), F.lit(" "), F.get(names, F.when(rest == "01", 2).otherwise(3)))
+        pieces = F.transform(F.regexp_extract_all(word, F.lit("[a-zA-Z]+|[0-9]+"), F.lit(0)), lambda s: F.when(s.rlike("^[0-9]+$"), cardinal(s)).otherwise(F.lower(s)))
+        plain = F.when(fraction.isNull(), head).otherwise(_point(head, fraction))
+        return (
+            F.when(kind == "currency", F.when(fraction.isNull() | (rest == "00"), amount).otherwise(F.concat(amount, hundredths)))
+            .when(kind == "percent", F.concat(plain, F.lit(" percent"))).when(kind.isin("integer", "decimal", "grouped"), plain).when(kind == "ordinal", _ordinal(head))
+            .when(kind == "mixed", F.when(~F.exists(pieces, lambda x: x.isNull()), F.array_join(pieces, " ")))
+        )
+
+    def found(p: Column) -> Column:
+        return let(F.struct(p["word"].alias("word"), p["kind"].alias("kind"), _number(p["word"], p["kind"]).alias("number")), lambda q: let(
+            F.struct(q["word"].alias("word"), q["kind"].alias("kind"), q["number"].alias("number"), cardinal(F.substring_index(q["number"], ".", 1)).alias("head")), spelled))
+
+    value = let(F.struct(word.alias("word"), number_class(word).alias("kind")), found)
+    return F.when(word.rlike("[0-9]"), F.coalesce(_joined(value, joiner), word)).otherwise(word)
+
+
+def _scaled(word: Column, following: Column) -> Column:
+    """Of a currency amount before a scale word: struct of its number and the unit, else null."""
+    scale = F.regexp_replace(F.lower(following), "[\\p{Punct}]+$", "")
+    part = _behind_symbol(word)
+    number = F.when(part.rlike(r"^\d+\.\d+$"), part).when(F.replace(part, F.lit(","), F.lit("")).rlike(r"^\d+$"), F.replace(part, F.lit(","), F.lit("")))
+    fits = F.length(F.regexp_replace(F.substring_index(number, ".", 1), "^0+", "")) <= _WIDTH
+    names = _currency(word)
+    return F.when(names.isNotNull() & scale.isin(SCALE_WORDS) & fits, F.struct(number.alias("number"), F.concat(scale, F.get(names, F.lit(1))).alias("unit")))
 
 
 def scale_amount(word: Column, following: Column, joiner: str | None = "") -> Column:
     """Of a currency amount before a scale word, such as "$3 billion": struct of the two new words, else null."""
-    scale = F.regexp_replace(F.lower(following), "[\\p{Punct}]+$", "")
-    out = F.lit(None).cast("struct<amount:string,unit:string>")
-    for symbol, _, many, _, _ in reversed(CURRENCIES):
-        part = word.substr(F.lit(len(symbol) + 1), F.length(word))
-        plain = F.replace(part, F.lit(","), F.lit(""))
-        amount = F.when(part.rlike(r"^\d+\.\d+$"), decimal(part)).when(plain.rlike(r"^\d+$") & ~part.contains("."), cardinal(plain))
-        if joiner is not None:
-            amount = F.replace(F.replace(amount, F.lit(" "), F.lit(joiner)), F.lit("-"), F.lit(joiner))
-        hit = word.startswith(symbol) & scale.isin(SCALE_WORDS) & amount.isNotNull()
-        out = F.when(hit, F.struct(amount.alias("amount"), F.concat(scale, F.lit(many)).alias("unit"))).otherwise(out)
-    return out
+    spell = lambda s: F.when(s.isNotNull(), F.struct(_joined(F.when(s["number"].contains("."), decimal(s["number"])).otherwise(cardinal(s["number"])), joiner).alias("amount"), s["unit"].alias("unit")))
+    return let(_scaled(word, following), spell)
 
 
 def expand_numbers(ws: Column, joiner: str | None = "") -> Column:
-    """All words of an array spelled out; the array keeps its length. A scale word can't begin an amount, so neighbours decide alone."""
-    def one(w: Column, i: Column) -> Column:
-        here = scale_amount(w, F.get(ws, i + 1), joiner)
-        before = scale_amount(F.get(ws, i - 1), w, joiner)
-        return F.coalesce(here["amount"], before["unit"], expand_number(w, joiner))
+    """All words of an array spelled out; the array keeps its length. A scale word can't begin an amount, so neighbours decide alone.
+
+    Only words with a digit, and words behind a currency amount, are looked at closely.
+    """
+
+    def all_of(a: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            before = F.get(a, i - 1)
+            after = F.when(_currency(before).isNotNull(), _scaled(before, w)["unit"])
+            return F.when(w.rlike("[0-9]"), F.coalesce(scale_amount(w, F.get(a, i + 1), joiner)["amount"], expand_number(w, joiner))).otherwise(F.coalesce(after, w))
+
+        return F.transform(a, one)
 
-    return F.transform(ws, one)
+    return let(ws, all_of)

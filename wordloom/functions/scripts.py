@@ -23,8 +23,12 @@ def align_romanized(original: Column, romanized: Column, unknown: str = UNKNOWN)
     """``romanized`` brought to the length of ``original``.
 
     More romanised words than originals: neighbours are joined by proportion. Fewer: they are spread
-    by proportion and the gaps are ``unknown``. None: all are ``unknown``.
+    by proportion and the gaps are ``unknown``. None: all are ``unknown``. Both arrays are worked out once.
     """
+    return let(F.struct(original.alias("o"), romanized.alias("r")), lambda s: _aligned(s["o"], s["r"], unknown))
+
+
+def _aligned(original: Column, romanized: Column, unknown: str) -> Column:
     n, m = F.size(original), F.size(romanized)
     ratio = m.cast("double") / n
     fused = F.transform(original, lambda w, i: let(

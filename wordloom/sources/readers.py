@@ -87,7 +87,7 @@ def parse_textgrid(grids: DataFrame, by: str = "source", text: str = "text", fra
     Words are the intervals with a mark of the tier ``words``; frames are truncated. Phones go to the
     word that holds their start, ``start <= phone < end``, the first if several do.
     """
-    tiers = grids.select(by, F.explode(F.slice(F.split(text, r"item \[\d+\]:"), 2, 1_000)).alias("tier"))
+    tiers = grids.select(by, F.posexplode(F.split(text, r"item \[\d+\]:")).alias("n", "tier")).where("n > 0")
     tiers = tiers.select(by, F.regexp_extract("tier", r'name = "([^"]*)"', 1).alias("name"), "tier")
     number = r"([-+0-9.eE]+)"
     one = rf'intervals \[\d+\]:\s*xmin = {number}\s*xmax = {number}\s*text = "([^"]*)"'
