@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wordloom.llm import token_binary, token_counts, tokens
+from wordloom.llm import textkit, token_binary, token_counts, tokens
 from wordloom.llm.queries import tokenizer_path
 from wordloom.llm.url_filter import filter_urls
 
@@ -45,6 +45,52 @@ def test_grammar_round_trip(ids, a, b):
         assert (token_binary.decode_range(block, low, high) == ids[low:high]).all()
 
 
+def test_pieces_of_one_hash(monkeypatch):
+    """Pieces that share their hash are told apart by their bytes."""
+    monkeypatch.setattr(tokens, "span_hash", lambda buf, a, z, fold=False: np.full(len(a), 7, np.uint64))
+    held = tokens.Pieces(tokens.load(tokenizer_path())[0])
+    monkeypatch.setattr(tokens, "_held", lambda path: held)
+    texts = ["one two three one", "two " + "x" * 200 + " " + "x" * 199 + "y", "four one"]
+    for first, ids, at, *_ in tokens.encode(pa.array(texts), tokenizer_path()):
+        for i, t in enumerate(texts[first:]):
+            assert held.tokenizer.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_hashes_of_self_similar_words():
+    """Thue-Morse words, on which polynomials modulo a power of two agree."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    one, other = a[:1024], a[1024:]
+    text = np.frombuffer((one + other).encode(), np.uint8)
+    h = textkit.span_hash(text, np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] != h[1]
+    words = np.frombuffer((" ".join(one) + " " + " ".join(other)).encode(), np.uint8)
+    starts, ends, _ = textkit.word_spans(words, np.array([0, len(words)]))
+    data, place = textkit.joined_words(words, starts, ends)
+    d = textkit.digests(data, place[[0, 1024]], place[[1024, 2048]])
+    assert (d[0] != d[1]).any()
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    for ids in (np.tile(np.arange(7), 40_000), rng.zipf(1.3, 60_000) % 500, np.zeros(5000)):
+        ids = ids.astype(np.uint32)
+        base, rules, sizes, s = token_binary.compress(ids)
+        assert (token_binary.expand(s, base, rules) == ids).all()
+        seen = {}
+        last = None
+        for i, pair in enumerate(zip(s[:-1].tolist(), s[1:].tolist(), strict=True)):
+            if last == (i - 1, pair):
+                last = None
+                continue
+            seen[pair] = seen.get(pair, 0) + 1
+            last = (i, pair)
+        assert not seen or max(seen.values()) < token_binary.LEAST_COUNT
+    base, rules, sizes, s = token_binary.compress(np.tile(np.arange(7), 40_000).astype(np.uint32))
+    assert len(s) < 64 and len(rules) < 100
+
+
 def test_grammar_shrinks():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 50_000, 200), np.tile(rng.integers(0, 50_000, 64), 400)]).astype(np.uint32)

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    temporary folder is made once and set for the session.
+    Where that is unset, a session on one machine gets a temporary folder, which is set for the session;
+    on a cluster there is no such place to choose, so ValueError is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
@@ -41,43 +42,68 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-#: One random 64-bit value for each byte, with A-Z as a-z and as itself.
-_EXACT = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
+#: A-Z as a-z, all other bytes as themselves.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 #: Space and \x09-\x0D.
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, U64), np.ones(1, U64)
+#: The first 1 to 8 bytes of a little-endian word.
+_FIRST = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], U64)
+#: Longer spans are hashed one by one.
+_SHORT = 64
 #: Multipliers of the words in a shingle.
 _STEP = mix(np.arange(101, 133, dtype=U64)) | U64(1)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        tables = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, U64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=U64))
-        if n > CHUNK_BYTES + 1:
-            return tables[0], tables[1]
-        _powers = tables[0], tables[1]
-    return _powers
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; with ``fold``, A-Z count as a-z. Spans must not overlap backwards."""
-    power, inverse = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum((_FOLDED if fold else _EXACT)[buf] * power[: len(buf)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(value + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    """A 64-bit hash of each byte span; with ``fold``, A-Z count as a-z.
+
+    Every step is a bijection of the hash so far and the next eight bytes; spans over 64 bytes are left
+    to xxh3.
+    """
+    if fold:
+        buf = FOLDED[buf]
+    size = ends - starts
+    out = mix((size.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    held = eights(buf)
+    some = np.flatnonzero((size > 0) & (size <= _SHORT))
+    at, left = starts[some], size[some]
+    for k in range(0, _SHORT, 8):
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ (held[at + k] & _FIRST[np.minimum(left - k, 8)]) * U64(0xD1342543DE82EF95))
+        more = left > k + 8
+        some, at, left = some[more], at[more], left[more]
+    whole = memoryview(np.ascontiguousarray(buf))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[starts[i] : ends[i]])
+    return out
+
+
+def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words ``starts, ends`` of ``buf``, A-Z as a-z, each with one blank behind it, and where each begins (one more entry than words)."""
+    size = ends - starts
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(begin[-1], 32, np.uint8)
+    flat = np.arange(size.sum())
+    word = np.repeat(np.arange(len(size)), size)
+    out[flat + word] = FOLDED[buf[flat + np.repeat(starts - np.cumsum(size) + size, size)]]
+    return out, begin
+
+
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 128-bit xxh3 digest of each span of bytes, as two columns."""
+    whole, one = memoryview(data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([one(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
 def rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

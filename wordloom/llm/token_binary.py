@@ -7,8 +7,10 @@ block stands for the pair of symbols ``rules[2r], rules[2r + 1]`` and has the nu
 sizes, any range of ids is decoded without the rest (``decode_range``). All numbers are
 little-endian unsigned 32-bit.
 
-Rules come in rounds: each counts neighbouring pairs, takes the most frequent ones and replaces
-their occurrences, from left to right where they overlap.
+Rules come in rounds, until no pair occurs ``LEAST_COUNT`` times: each round counts all neighbouring
+pairs exactly and replaces the frequent ones, a place of two overlapping pairs by the more frequent
+of them. A pair that keeps fewer than ``LEAST_COUNT`` places waits for the next round; the most
+frequent pair keeps all of them, so each round makes a rule.
 """
 
 from __future__ import annotations
@@ -22,50 +24,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import partitions, shared_path, small_batches
-from .textkit import trim
+from .textkit import distinct, trim
 from .tokens import encode
 
 END_ID = 0
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-ROUNDS, ROUND_RULES, LEAST_COUNT, SLOTS = 4, 4096, 12, 18
+#: A pair that occurs so often is replaced. A rule takes 12 bytes, a replaced pair saves 4.
+LEAST_COUNT = 8
 BLOCKS = "shard int, first long, n_ids long, doc_ids array<long>, lengths array<long>, base long, rules binary, sizes binary, sequence binary"
 
 
+def _pairs(s: np.ndarray, most: int, look: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring pairs that occur ``LEAST_COUNT`` times without overlap: first and second symbol, count, and all places, pair after pair.
+
+    No symbol is above ``most``; with ``look`` only the pairs at these places, in order, count.
+    """
+    wide, deep = most.bit_length(), max(1, len(s).bit_length())
+    place = np.arange(len(s) - 1) if look is None else look
+    key = s[place].astype(np.uint64) << np.uint64(wide) | s[place + 1]
+    place = place.astype(np.uint64)
+    if not len(key):
+        return key, key, key, key
+    if (same := np.flatnonzero((key[1:] == key[:-1]) & (place[1:] == place[:-1] + np.uint64(1)))).size:
+        # A run of one symbol: every other pair of it counts.
+        opens = np.concatenate([[True], np.diff(same) > 1])
+        first = np.maximum.accumulate(np.where(opens, same, 0))
+        odd = (same - first) % 2 == 0
+        keep = np.ones(len(key), bool)
+        keep[same[odd] + 1] = False
+        key, place = key[keep], place[keep]
+    if 2 * wide + deep <= 64:
+        both = np.sort(key << np.uint64(deep) | place)
+        key, place = both >> np.uint64(deep), (both & np.uint64((1 << deep) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order].astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(begin, len(key)))
+    often = np.flatnonzero(count >= LEAST_COUNT)
+    held = np.repeat(count >= LEAST_COUNT, count)
+    found = key[begin[often]]
+    return (found >> np.uint64(wide)).astype(np.uint32), (found & np.uint64((1 << wide) - 1)).astype(np.uint32), count[often], place[held]
+
+
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """``base, rules, sizes, sequence`` of an array of ids."""
+    """``base, rules, sizes, sequence`` of an array of ids: no pair of the sequence occurs ``LEAST_COUNT`` times."""
     base = int(ids.max()) + 1 if len(ids) else 1
     s = ids.astype(np.uint32)
-    rules, sizes = np.zeros((0, 2), np.uint32), np.ones(0, np.uint32)
-    for _ in range(ROUNDS):
-        if len(s) < 2 * LEAST_COUNT:
-            break
-        key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        # One pair stands for each slot; others of the slot wait for a later round.
-        stands = np.zeros(1 << SLOTS, np.uint64)
-        stands[slot] = key
-        own = stands[slot] == key
-        count = np.bincount(slot[own], minlength=1 << SLOTS)
-        chosen = np.flatnonzero(count >= LEAST_COUNT)
-        if len(chosen) > ROUND_RULES:
-            chosen = chosen[np.argsort(-count[chosen], kind="stable")[:ROUND_RULES]]
-        if not len(chosen):
-            break
-        number = np.full(1 << SLOTS, -1, np.int64)
-        number[chosen] = np.arange(len(chosen))
-        new = np.where(own, number[slot], -1)
-        hit = np.flatnonzero(new >= 0)
-        opens = np.concatenate([[True], np.diff(hit) > 1])
-        run = np.maximum.accumulate(np.where(opens, hit, 0))
-        hit = hit[(hit - run) % 2 == 0]
-        pairs = np.stack([stands[chosen] >> np.uint64(32), stands[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        length = np.concatenate([np.ones(base, np.uint32), sizes])
-        s[hit] = (base + len(rules) + new[hit]).astype(np.uint32)
-        s = np.delete(s, hit + 1)
-        sizes = np.concatenate([sizes, length[pairs].sum(1).astype(np.uint32)])
-        rules = np.concatenate([rules, pairs])
-    return base, rules, sizes, s
+    rules, sizes, made, look = [np.zeros((0, 2), np.uint32)], np.ones(base, np.uint32), 0, None
+    while len(s) >= 2 * LEAST_COUNT:
+        left, right, count, place = _pairs(s, base + made, look)
+        if not len(count):
+            if look is None:
+                break
+            look = None
+            continue
+        # Where two frequent pairs overlap, the more frequent one has the place.
+        rank = np.empty(len(count), np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(1, len(count) + 1)
+        at = np.zeros(len(s) + 1, np.int32)
+        at[place + 1] = np.repeat(rank, count)
+        wins = place[(at[place + 1] > at[place]) & (at[place + 1] > at[np.minimum(place + 2, len(s))])]
+        used = np.bincount(at[wins + 1], minlength=len(count) + 1)[rank]
+        chosen = np.flatnonzero(used >= LEAST_COUNT)
+        number = np.full(len(count) + 1, -1, np.int64)
+        number[rank[chosen]] = np.arange(len(chosen))
+        new = number[at[wins + 1]]
+        wins, new = wins[new >= 0], new[new >= 0]
+        s[wins] = (base + made + new).astype(np.uint32)
+        stays, kept = np.ones(len(s), bool), np.ones(len(s), bool)
+        stays[wins + 1] = False
+        kept[wins] = kept[wins + 1] = False
+        s = s[stays]
+        # Only pairs with a new symbol, and frequent ones that lost places, can be frequent now; a last round looks at all.
+        now = np.cumsum(stays) - 1
+        fresh = now[wins]
+        look = distinct(np.concatenate([fresh, fresh - 1, now[place[kept[place] & kept[place + 1]]]]))
+        look = look[(look >= 0) & (look < len(s) - 1)]
+        sizes = np.concatenate([sizes, sizes[left[chosen]] + sizes[right[chosen]]])
+        rules.append(np.stack([left[chosen], right[chosen]], 1))
+        made += len(chosen)
+    return base, np.concatenate(rules), sizes[base:], s
 
 
 def expand(s: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:

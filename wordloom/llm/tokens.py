@@ -1,9 +1,10 @@
-"""Whole-text encoding with a tokenizers file, with each distinct piece of a batch encoded once.
+"""Encoding with a tokenizers file: whole texts with their offsets, or ids alone with each distinct piece encoded once.
 
 The pre-tokenizer of a byte-level BPE never puts a single blank and the solid character before it in
 one token. So a text may be cut before such a blank, and the ids of the text are the ids of its
 pieces in order. Pieces repeat a lot; the library encodes the distinct ones and numpy lays out the
-ids. Tokenizers of another kind encode each text whole.
+ids. Pieces are found by a 64-bit hash and then compared byte by byte. Tokenizers of another kind
+encode each text whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .textkit import BLANK, distinct, rows, span_hash
+from .textkit import _FIRST, _SHORT, BLANK, distinct, eights, rows, span_hash
 
 
 @lru_cache(maxsize=2)
@@ -65,11 +66,37 @@ class Pieces:
         #: Sorted keys and the entry of each; of each entry the place and number of its ids in ``flat``.
         self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        #: The bytes of all entries, where each begins, and how long it is.
+        self.text, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: A slot holds the last key that came to it, so that common pieces are found without a search.
         self.slot_key, self.slot_entry = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
 
     def find(self, buf: np.ndarray, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each piece; pieces not held yet are encoded."""
+        """The entry of each piece; pieces not held yet, or that share their hash with others, are encoded."""
+        entry = self._by_key(buf, data, keys, starts, ends)
+        if len(other := np.flatnonzero(~self._same(buf, data, starts, ends - starts, entry))):
+            entry[other] = np.arange(len(self.base), len(self.base) + len(other))
+            self.add(buf, data, None, starts[other], ends[other])
+        return entry
+
+    def _same(self, buf: np.ndarray, data: bytes, starts: np.ndarray, size: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether each piece has its entry's bytes."""
+        good = self.length[entry] == size
+        for i in np.flatnonzero(good & (size > _SHORT)).tolist():
+            at = int(self.begin[entry[i]])
+            good[i] = data[starts[i] : starts[i] + size[i]] == self.text[at : at + int(size[i])].tobytes()
+        here, there = eights(buf), eights(self.text)
+        some = np.flatnonzero(good & (size <= _SHORT))
+        for k in range(0, _SHORT, 8):
+            left = size[some] - k
+            equal = (here[starts[some] + k] ^ there[self.begin[entry[some]] + k]) & _FIRST[np.clip(left, 0, 8)] == 0
+            good[some[~equal]] = False
+            some = some[equal & (left > 8)]
+            if not len(some):
+                break
+        return good
+
+    def _by_key(self, buf: np.ndarray, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         slot = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         entry = self.slot_entry[slot]
         miss = np.flatnonzero((self.slot_key[slot] != keys) | (keys == 0))
@@ -78,7 +105,7 @@ class Pieces:
         own, one, which = np.unique(keys[miss], return_index=True, return_inverse=True)
         if len(self.keys) + len(own) > self.MOST and len(self.keys):
             self.clear()
-            return self.find(buf, data, keys, starts, ends)
+            return self._by_key(buf, data, keys, starts, ends)
         place = np.searchsorted(self.keys, own)
         place[place == len(self.keys)] = 0
         new = self.keys[place] != own if len(self.keys) else np.ones(len(own), bool)
@@ -105,8 +132,8 @@ class Pieces:
                 low, weight = i + 1, 0
         return np.concatenate(ids), np.array(size, np.int64)
 
-    def add(self, buf: np.ndarray, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encodes new pieces; ``keys`` are sorted and not yet held.
+    def add(self, buf: np.ndarray, data: bytes, keys: np.ndarray | None, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes new pieces; ``keys`` are sorted and not yet held. Without keys they are entries that no later search finds.
 
         Pieces that begin with their blank and end solidly are encoded many in one text: there the
         tokenizer cuts between them, and the ids' bytes tell which piece they belong to.
@@ -115,7 +142,7 @@ class Pieces:
         joined &= ~BLANK[buf[np.minimum(starts + 1, len(buf) - 1)]]
         one, many = np.flatnonzero(~joined), np.flatnonzero(joined)
         ids, size = self._encoded([data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-        flat, sizes = [ids], np.zeros(len(keys), np.int64)
+        flat, sizes = [ids], np.zeros(len(starts), np.int64)
         sizes[one] = size
         if len(many):
             length = ends[many] - starts[many]
@@ -130,11 +157,16 @@ class Pieces:
             flat.append(ids)
             sizes[many] = np.diff(np.concatenate([[0], edge + 1]))
         order = np.concatenate([one, many])
-        base = np.empty(len(keys), np.int64)
+        base = np.empty(len(starts), np.int64)
         base[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
         self.flat = np.concatenate([self.flat, *flat])
-        entry = np.arange(len(self.base), len(self.base) + len(keys), dtype=np.int32)
+        entry = np.arange(len(self.base), len(self.base) + len(starts), dtype=np.int32)
+        own = ends - starts
+        self.begin, self.length = np.concatenate([self.begin, np.cumsum(own) - own + len(self.text)]), np.concatenate([self.length, own])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint8)])
         self.base, self.size = np.concatenate([self.base, base]), np.concatenate([self.size, sizes.astype(np.int32)])
+        if keys is None:
+            return
         place = np.searchsorted(self.keys, keys)
         self.keys, self.entry = np.insert(self.keys, place, keys), np.insert(self.entry, place, entry)
 
@@ -144,13 +176,25 @@ def _held(path: str) -> Pieces:
     return Pieces(load(path)[0])
 
 
-def _whole(column: pa.Array, tokenizer):
-    """Each chunk's rows encoded whole, for tokenizers whose pieces can't be cut."""
-    for first, last, _, _ in rows(column):
-        found = tokenizer.encode_batch([x or "" for x in column.slice(first, last - first).to_pylist()], add_special_tokens=False)
-        at = np.concatenate([[0], np.cumsum([len(x.ids) for x in found])])
-        pairs = np.array([p for x in found for p in x.offsets], np.int64).reshape(-1, 2)
-        yield first, np.array([i for x in found for i in x.ids], np.uint32), at, pairs[:, 0], pairs[:, 1]
+#: Bytes of text that the library encodes at a time: its results are many times as large.
+WHOLE_BYTES = 1 << 18
+
+
+def encode_whole(column: pa.Array, path: str):
+    """Runs of rows of a string column, each text encoded whole and once: first row, ids, each row's first id, and the ids' code-point spans."""
+    tokenizer, _ = load(path)
+    texts = [x or "" for x in column.to_pylist()]
+    low = weight = 0
+    for i, t in enumerate(texts):
+        weight += len(t)
+        if weight < WHOLE_BYTES and i + 1 < len(texts):
+            continue
+        found = tokenizer.encode_batch(texts[low : i + 1], add_special_tokens=False)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        chain = itertools.chain.from_iterable
+        pairs = np.fromiter(chain(chain(x.offsets) for x in found), np.int64, 2 * int(at[-1])).reshape(-1, 2)
+        yield low, np.fromiter(chain(x.ids for x in found), np.uint32, int(at[-1])), at, pairs[:, 0], pairs[:, 1]
+        low, weight = i + 1, 0
 
 
 def encode(column: pa.Array, path: str, spans: bool = False):
@@ -159,9 +203,9 @@ def encode(column: pa.Array, path: str, spans: bool = False):
     Yields ``(first, ids, at, begin, end)``; ``begin`` and ``end`` are None without ``spans``. An id
     that holds part of a character spans the whole character.
     """
-    tokenizer, cut = load(path)
+    _, cut = load(path)
     if not cut:
-        yield from _whole(column, tokenizer)
+        yield from encode_whole(column, path)
         return
     held = _held(path)
     for first, _, buf, offsets in rows(column):
