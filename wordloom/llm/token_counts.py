@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encode
+from .tokens import encode_whole
 
 RULES = ("start", "end", "most")
 COUNTS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -41,7 +41,7 @@ def _count(batches, path: str, rule: str):
     for batch in batches:
         bounds = batch.column("bounds")
         lengths = batch.column("n_chars")
-        for first, ids, at, begin, end in encode(batch.column("text"), path, spans=True):
+        for first, ids, at, begin, end in encode_whole(batch.column("text"), path):
             out = []
             n = len(at) - 1
             marks = bounds.slice(first, n)
