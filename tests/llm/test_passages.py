@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from wordloom.llm.line_dedup import dedup_lines
 from wordloom.llm.passage_dedup import dedup_passages
 from wordloom.llm.queries import QUERIES
 
@@ -47,6 +48,7 @@ def test_passages_inside_lines(spark, seed):
         w = words(t)
         assert words(got[k].text) == [x for i, x in enumerate(w) if i not in want[k]]
         spans = [tuple(map(int, s.split("-"))) for s in got[k].removed.split(",") if s]
+        assert got[k].n_passages == sum(i - 1 not in want[k] for i in want[k])
         assert [x for a, z in spans for x in words(t[a:z])] == [w[i] for i in sorted(want[k])] and got[k].n_removed == len(spans)
     assert got[92].text is None and got[93].text == "" and dedup_passages(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -59,6 +61,15 @@ def test_passages_and_lines(spark):
     assert got == sorted([("1", rows[0][1], 2, 0), ("2", "é\n\nd  e", 4, 2), ("2", "é\n\nd  e", 4, 2), ("None", "f ", 1, 1)])
 
 
+def test_like_lines_stay(spark):
+    """Lines whose words follow the Thue-Morse sequence and its complement differ, so both stay."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(a[:1024])), (2, " ".join(a[1024:]))]
+    assert {r.n_removed for r in dedup_lines(spark.createDataFrame(rows, DOCS), 1).collect()} == {0}
+
+
 def test_query_removes_every_later_line(spark, tmp_path):
     rows = [(1, "All rights reserved.\nfirst text"), (2, "second text\n all  rights RESERVED."), (3, "one\ntwo\none")]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import written
-from .textkit import _power_tables, mix, rows, span_hash, word_spans
+from .textkit import digests, joined_words, rows, word_spans
 
 MIN_WORDS = 20
 UNITS = "doc_id long, h long, unit int, line int, start long, end long, words int, d1 long, d2 long"
@@ -26,10 +26,9 @@ UNITS = "doc_id long, h long, unit int, line int, start long, end long, words in
 def _units(batches):
     for batch in batches:
         for first, last, buf, offsets in rows(batch.column("text")):
-            starts, ends, _ = word_spans(buf, offsets)
+            starts, word_ends, _ = word_spans(buf, offsets)
             if not len(starts):
                 continue
-            words = span_hash(buf, starts, ends, fold=True)
             breaks = np.flatnonzero(buf == 10)
             # A line begins at each row and after each line break; equal offsets (empty rows) give a line each.
             begins = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
@@ -40,11 +39,8 @@ def _units(batches):
             to = np.searchsorted(starts, stops)
             keep = to > at
             begins, stops, row, at, to = begins[keep], stops[keep], row[keep], at[keep], to[keep]
-            power, inverse = _power_tables(len(words) + 1)
-            digest = []
-            for salted in (words, mix(words + np.uint64(1))):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted * power[: len(words)], dtype=np.uint64)])
-                digest.append(mix((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64)).view(np.int64))
+            data, place = joined_words(buf, starts, word_ends)
+            digest = digests(data, place[at], place[to]).T
             points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
             line_of = np.searchsorted(breaks, begins) - np.searchsorted(breaks, offsets[row])
             opens = np.concatenate([[True], row[1:] != row[:-1]])

@@ -18,23 +18,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import MIN_WORDS, repeated_units
+from .line_dedup import repeated_units
 from .shared import release, written
-from .textkit import _power_tables, mix, rows, span_hash, word_spans
+from .textkit import U64, digests, joined_words, mix, rows, span_hash, word_spans
 
 PASSAGE, GRAM = 50, 25
 #: Windows that one shingle can be the anchor of; a longer run of equal anchors repeats within itself.
 REACH = PASSAGE - GRAM + 1
+_LEFT = U64(0xD1342543DE82EF95)
 ANCHORS = "doc_id long, h long, p int, n int, a long, r long"
 WINDOWS = "doc_id long, h long, p int, d1 long, d2 long"
-CUT = "doc_id long, text string, n_lines long, n_removed long, removed string"
+CUT = "doc_id long, text string, n_lines long, n_removed long, n_passages long, removed string"
 
 
-def _spans(words: np.ndarray, begin: np.ndarray, size: int | np.ndarray) -> np.ndarray:
-    """A hash of the ``size`` words from each of ``begin``."""
-    power, inverse = _power_tables(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)])
-    return mix((sums[begin + size] - sums[begin]) * inverse[begin])
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` words in a row, put together from those of powers of two."""
+    out, have, part, width = None, 0, words, 1
+    while True:
+        if size & width:
+            out = part if out is None else mix(out[: len(part) - have] * _LEFT + part[have : have + len(out)])
+            have += width
+            out = out[: len(words) - have + 1]
+        width *= 2
+        if width > size:
+            return out
+        part = mix(part[: len(part) - width // 2] * _LEFT + part[width // 2 :])
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -50,7 +58,7 @@ def _anchors(batches):
             if not number.any():
                 continue
             words = span_hash(buf, starts, ends, fold=True)
-            least = _spans(words, np.arange(len(starts) - GRAM + 1), GRAM)
+            least = _grams(words, GRAM)
             width = 1
             while 2 * width <= REACH:
                 least = np.minimum(least[:-width], least[width:])
@@ -62,8 +70,9 @@ def _anchors(batches):
             opens = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
             taken = pa.array(row[opens] + first)
             p, n = (begin - at[:-1][row])[opens], np.diff(np.append(opens, len(row)))
-            whole = mix(_spans(mix(words + np.uint64(2)), begin[opens], n + PASSAGE - 1) + n.astype(np.uint64))
-            yield _batch(ANCHORS, batch.column("doc_id").take(taken), batch.column("h").take(taken), p.astype(np.int32), n.astype(np.int32), anchor[opens].view(np.int64), whole.view(np.int64))
+            data, place = joined_words(buf, starts, ends)
+            whole = digests(data, place[begin[opens]], place[begin[opens] + n + PASSAGE - 1])[:, 0]
+            yield _batch(ANCHORS, batch.column("doc_id").take(taken), batch.column("h").take(taken), p.astype(np.int32), n.astype(np.int32), anchor[opens].view(np.int64), whole)
 
 
 def _windows(batches):
@@ -71,7 +80,7 @@ def _windows(batches):
     for batch in batches:
         for first, last, buf, offsets in rows(batch.column("text")):
             starts, ends, at = word_spans(buf, offsets)
-            words = span_hash(buf, starts, ends, fold=True)
+            data, place = joined_words(buf, starts, ends)
             runs = batch.column("runs").slice(first, last - first)
             own = np.repeat(np.arange(last - first), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
             flat = runs.flatten()
@@ -79,13 +88,13 @@ def _windows(batches):
             row = np.repeat(own, n)
             p = np.repeat(p, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             begin = p + at[:-1][row]
-            digest = [_spans(x, begin, PASSAGE).view(np.int64) for x in (words, mix(words + np.uint64(1)))]
+            digest = digests(data, place[begin], place[begin + PASSAGE]).T
             taken = pa.array(row + first)
             yield _batch(WINDOWS, batch.column("doc_id").take(taken), batch.column("h").take(taken), p.astype(np.int32), *digest)
 
 
-def _cuts(text: str, lines: list[int], windows: list[dict]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without these lines and windows, and the spans that went, in code points.
+def _cuts(text: str, lines: list[int], windows: list[dict]) -> tuple[str, list[tuple[int, int]], int]:
+    """The text without these lines and windows, the spans that went, in code points, and the number of runs of words that windows cover.
 
     A line that loses all its words goes with its break, any other loses the words only.
     """
@@ -97,6 +106,7 @@ def _cuts(text: str, lines: list[int], windows: list[dict]) -> tuple[str, list[t
         depth[w["p"]] += 1
         depth[w["p"] + w["n"] + PASSAGE - 1] -= 1
     gone = np.cumsum(depth)[:-1] > 0
+    passages = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
     breaks = np.flatnonzero(buf == 10)
     begins, stops = np.concatenate([[0], breaks + 1]), np.append(breaks, len(buf))
     at, to = np.searchsorted(starts, begins), np.searchsorted(starts, stops)
@@ -118,22 +128,22 @@ def _cuts(text: str, lines: list[int], windows: list[dict]) -> tuple[str, list[t
                 spans.append((int(starts[x]), place))
         kept.append(b"".join([*parts, data[place:z]]))
     points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    return b"\n".join(kept).decode(), [(int(points[a]), int(points[z])) for a, z in spans]
+    return b"\n".join(kept).decode(), [(int(points[a]), int(points[z])) for a, z in spans], passages
 
 
 def _cut(batches):
     for batch in batches:
         column = batch.column("text")
         n_lines = pc.fill_null(pc.add(pc.count_substring(column, "\n"), 1), 0).cast(pa.int64())
-        texts, removed, count = column, [""] * len(batch), np.zeros(len(batch), np.int64)
+        texts, removed, count, passages = column, [""] * len(batch), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
         touched = np.flatnonzero(batch.column("lines").is_valid().to_numpy(zero_copy_only=False))
         if len(touched):
             texts = column.to_pylist()
             for i in touched.tolist():
-                texts[i], spans = _cuts(texts[i], batch.column("lines")[i].as_py(), batch.column("windows")[i].as_py())
+                texts[i], spans, passages[i] = _cuts(texts[i], batch.column("lines")[i].as_py(), batch.column("windows")[i].as_py())
                 count[i], removed[i] = len(spans), ",".join(f"{a}-{z}" for a, z in spans)
             texts = pa.array(texts, pa.string())
-        yield _batch(CUT, batch.column("doc_id"), texts, n_lines, count, pa.array(removed, pa.string()))
+        yield _batch(CUT, batch.column("doc_id"), texts, n_lines, count, passages, pa.array(removed, pa.string()))
 
 
 def _beside(docs: DataFrame, more: DataFrame, how: str) -> DataFrame:
@@ -167,10 +177,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return later.union(runs.where("not cut").select("doc_id", "h", "p", "n"))
 
 
-def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text, n_lines, n_removed, removed`` of every row: the text without repeated lines and passages.
+def dedup_passages(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """``doc_id, text, n_lines, n_removed, n_passages, removed`` of every row: the text without repeated lines and passages.
 
-    ``removed`` lists the removed spans as ``start-end`` in code points of the original text, in order,
+    ``n_passages`` counts the longest runs of words that later windows of ``PASSAGE`` words cover. ``removed`` lists the removed spans as ``start-end`` in code points of the original text, in order,
     separated by commas: a whole line, or words within one. ``min_words`` is that of repeated runs of
     lines. Null texts stay null and have no lines. Rows that agree in doc_id and text are one document
     and lose the same spans; null ids rank last. Other columns are ignored; an empty table gives an

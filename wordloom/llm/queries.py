@@ -101,6 +101,8 @@ QUERIES = {
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
+_TOKENS = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+'"
+_TAIL = "'[\\x20\\x09-\\x0D]*$'"
 
 SQL = {
     "op1_url_filters": f"""
@@ -118,20 +120,40 @@ SELECT page_id, host, path, rule, verdict FROM (
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 s AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+  SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a,
     regexp_extract_all(translate(line, {_AZ}), {_WORDS}) AS w FROM l),
-u AS (
-  SELECT doc_id, n, a, a + length(line) AS b, len(w) AS words, array_to_string(w, ' ') AS d,
-    row_number() OVER (PARTITION BY doc_id ORDER BY n) AS unit FROM s WHERE len(w) > 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id, unit) AS k FROM u),
-g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM f WHERE k > 1),
-t AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM g),
+u AS (SELECT doc_id, n, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, n) > 1 AS later FROM s WHERE len(w) > 0),
+t AS (
+  SELECT doc_id, n, a, unnest(regexp_extract_all(line, {_TOKENS})) AS t, generate_subscripts(regexp_extract_all(line, {_TOKENS}), 1) AS k FROM s),
+w AS (
+  SELECT *, row_number() OVER d - 1 AS p, regexp_extract(t, {_WORDS}) AS word,
+    a + CAST(sum(length(t)) OVER (PARTITION BY doc_id, n ORDER BY k) AS BIGINT) AS z FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY n, k)),
+v AS (
+  SELECT doc_id, p, string_agg(translate(word, {_AZ}), ' ') OVER d AS x, count(*) OVER d AS c FROM w
+  WINDOW d AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT doc_id, p, first_value(doc_id) OVER d AS fd, first_value(p) OVER d AS fp FROM v WHERE c = 50 WINDOW d AS (PARTITION BY x ORDER BY doc_id, p)),
+g AS (SELECT doc_id, p FROM f WHERE (doc_id, p) <> (fd, fp) AND NOT (doc_id = fd AND p < fp + 50)),
+m AS (
+  SELECT w.*, later, max(g.p IS NOT NULL) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS inside
+  FROM w JOIN u USING (doc_id, n) LEFT JOIN g ON g.doc_id = w.doc_id AND g.p = w.p),
+o AS (
+  SELECT *, later OR inside AS gone, lag(later OR inside, 1, false) OVER (PARTITION BY doc_id, n ORDER BY k) AS before,
+    lag(inside, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS inside_before FROM m),
+r AS (SELECT *, sum(CASE WHEN gone AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, n ORDER BY k) AS run FROM o),
+e AS (
+  SELECT doc_id, n, bool_and(gone) AS whole, count(DISTINCT CASE WHEN gone THEN run END) AS runs, sum(CASE WHEN inside AND NOT inside_before THEN 1 ELSE 0 END) AS passages,
+    string_agg(CASE WHEN gone AND before THEN '' WHEN gone THEN left(t, length(t) - length(word)) ELSE t END, '' ORDER BY k) AS rest FROM r GROUP BY doc_id, n),
+y AS (
+  SELECT doc_id, n, run, min(z - length(word)) AS b, max(z) AS z FROM r WHERE gone GROUP BY doc_id, n, run),
 x AS (
-  SELECT s.doc_id, string_agg(CASE WHEN t.doc_id IS NULL THEN s.line END, chr(10) ORDER BY s.n) AS text, count(*) AS n_lines, count(t.doc_id) AS n_removed,
-    coalesce(string_agg(t.a || '-' || t.b, ',' ORDER BY t.n), '') AS removed
-  FROM s LEFT JOIN (SELECT * FROM t WHERE total >= 20) t ON t.doc_id = s.doc_id AND t.n = s.n GROUP BY s.doc_id)
-SELECT doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(n_lines, 0) AS n_lines,
-  coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN x USING (doc_id)
+  SELECT y.doc_id, string_agg((CASE WHEN whole THEN s.a ELSE b END) || '-' || (CASE WHEN whole THEN s.a + length(line) ELSE z END), ',' ORDER BY b) AS removed
+  FROM y JOIN e USING (doc_id, n) JOIN s USING (doc_id, n) GROUP BY y.doc_id),
+q AS (
+  SELECT s.doc_id, string_agg(CASE WHEN e.n IS NULL THEN line WHEN NOT whole THEN rest || regexp_extract(line, {_TAIL}) END, chr(10) ORDER BY s.n) AS text, count(*) AS n_lines,
+    CAST(coalesce(sum(runs), 0) AS BIGINT) AS n_removed, CAST(coalesce(sum(passages), 0) AS BIGINT) AS n_passages FROM s LEFT JOIN e USING (doc_id, n) GROUP BY s.doc_id)
+SELECT doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(q.text, '') END AS text, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_removed, 0) AS n_removed, coalesce(n_passages, 0) AS n_passages, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN q USING (doc_id) LEFT JOIN x USING (doc_id)
 """,
     "op6_ngram_join": f"""
 WITH RECURSIVE w AS (
