@@ -145,7 +145,7 @@ def test_decontamination_recall(spark):
 
 def test_blocks_of_items(spark, monkeypatch):
     docs, items, leaks = planted(2)
-    monkeypatch.setattr(decontamination, "BLOCK", 11)
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 300)
     found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(found & leaks) >= 0.95 * len(leaks) and not found - leaks
 
