@@ -87,6 +87,16 @@ def test_join_edge_cases(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_join_of_repeated_ids(spark):
+    """Rows of one id are linked, each with the set of its own text, in any order of the rows."""
+    fresh = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(5, fresh("a", 40)), (5, fresh("b", 30)), (5, fresh("b", 30)), (9, fresh("a", 41)), (3, fresh("b", 31)), (7, fresh("c", 20)), (None, fresh("c", 20)), (7, None)]
+    want = sorted([(5, 36, 3), (5, 26, 3), (5, 26, 3), (9, 37, 3), (3, 27, 3), (7, 16, 7), (None, 16, None), (7, 0, 7)], key=str)
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(order, DOCS)).collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_pigeonhole_bounds():
     low = bands(3000, 75)
     for n in range(1, 3000):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -11,7 +11,7 @@ from .shared import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -21,19 +21,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _kept(edges: DataFrame) -> tuple[tuple, DataFrame]:
+    """The written edges, and their number and two sums of hashes, which are taken while they are written."""
+    seen = Observation()
+    measured = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("y"))
+    table = written(measured, "links")
+    return tuple(seen.get[k] for k in "nxy"), table
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node in ``links(a, b)``; the component is its smallest node.
 
-    Every round writes its edges to the shared folder, so lineage stays short. The number of rounds
-    is logarithmic in the longest chain. Loops and repeated links are ignored; an empty table gives
-    an empty table.
+    Every round writes its edges to the shared folder, so lineage stays short, and is one job. The number
+    of rounds is logarithmic in the longest chain. Loops and repeated links are ignored; an empty table
+    gives an empty table.
     """
-    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
-        if state == before or not state[0]:
-            break
+    state, edges = _kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    while state[0]:
         before = state
-        edges = written(_small_star(_large_star(edges)), "links")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+        state, edges = _kept(_small_star(_large_star(edges)))
+        if state == before:
+            break
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found(node, component)`` after further ``links(a, b)``, of which there are few: only components that they touch are looked at."""
+    known = found.toDF("node", "c")
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(known.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    ends = written(ends, "joins")
+    merged = components(ends).toDF("component", "least")
+    moved = found.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    # Nodes without a link so far are components of their own.
+    alone = merged.join(found.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
+    return moved.union(alone)

@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import only, partitions, release, written
+from .graph import components, joined
+from .shared import only, partitions, written
 from .textkit import U64, distinct, mix, rows, shingles, trim, word_hashes
 
 #: Share of documents, and their count, at which a shingle counts as frequent in the cost model.
@@ -40,8 +40,10 @@ SPREAD = 1.4
 SEEN_MOST = 500_000
 #: Rows of an Arrow batch of whole sets.
 SET_ROWS = 64
-#: Shingles and rows of a block of a family, about.
-BLOCK_SHINGLES, BLOCK_ROWS = 1 << 22, 4096
+#: Shingles and rows of a block of a family, about, and bytes of sets that a task gets.
+BLOCK_SHINGLES, BLOCK_ROWS, TASK_BYTES = 1 << 22, 4096, 1 << 26
+#: Characters of text whose signatures make a bucket, about.
+BUCKET_CHARS = 1 << 23
 CELLS = "kind int, bucket int, a long, b long, n int, data binary"
 
 
@@ -111,6 +113,13 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, low: np.ndarray, t: int
     return np.concatenate(out), np.concatenate(roles)
 
 
+def _cells(kind: int, count: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of a kind, null but for these columns."""
+    kinds = {"kind": pa.int32(), "bucket": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "data": pa.binary()}
+    columns["kind"] = pa.array(np.full(count, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, k)) for c, k in kinds.items()], names=list(kinds))
+
+
 def _pack(keys: np.ndarray, nodes: np.ndarray, roles: np.ndarray) -> bytes:
     """Signatures of one bucket, sorted: their upper 48 bits in bytes of one place each, so that they compress, then nodes and roles."""
     order = np.argsort(keys)
@@ -155,7 +164,7 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
         some = np.flatnonzero(np.diff(ends))
         for part in np.array_split(some, max(1, len(some) // 64)):
             data = [_pack(keys[i], nodes[i], roles[i]) for i in (order[ends[b] : ends[b + 1]] for b in part)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 2, np.int32)), pa.array(part.astype(np.int32)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int32()), pa.array(data, pa.binary())], names=["kind", "bucket", "a", "b", "n", "data"])
+            yield _cells(2, len(part), bucket=pa.array(part.astype(np.int32)), data=pa.array(data, pa.binary()))
 
     for batch in batches:
         ids = batch.column("doc_id")
@@ -184,8 +193,7 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
                 held.append((keys, doc, roles))
                 weight += len(keys)
             n = last - first
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), ids.slice(first, n), none, pa.array(sizes), pa.array(names, pa.binary())], names=["kind", "bucket", "a", "b", "n", "data"])
+            yield _cells(0, n, a=ids.slice(first, n), n=pa.array(sizes), data=pa.array(names, pa.binary()))
             if weight > 1_000_000:
                 yield from flush()
                 weight = 0
@@ -196,12 +204,11 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
 
 def _stars(batches):
     """Distinct star edges of the signatures of a partition (kind 3), and the runs of three and more members (kind 4)."""
-    cells, passed = [], []
-    for pdf in batches:
-        wide = pdf["kind"] == 2
-        cells += [_unpack(x) for x in pdf.loc[wide, "data"]]
-        if not wide.all():
-            yield pdf[~wide]
+    cells = []
+    for batch in batches:
+        wide = pc.equal(batch.column("kind"), 2)
+        cells += [_unpack(x) for x in batch.column("data").filter(wide).to_pylist()]
+        yield batch.filter(pc.invert(wide))
     if not cells:
         return
     keys, nodes, roles = (np.concatenate(x) for x in zip(*cells, strict=True))
@@ -231,11 +238,11 @@ def _stars(batches):
             runs.setdefault(member.tobytes())
     pairs = np.unique(np.sort(np.concatenate(edges), 1), axis=0) if edges else np.zeros((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    yield pd.DataFrame({"kind": 3, "bucket": None, "a": pairs[:, 0], "b": pairs[:, 1], "n": None, "data": None}).astype({"bucket": "Int32", "n": "Int32"})
+    yield _cells(3, len(pairs), a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
     for part in np.array_split(np.arange(len(runs)), max(1, len(runs) // 5000)):
         if len(part):
             items = list(itertools.islice(runs, int(part[0]), int(part[-1]) + 1))
-            yield pd.DataFrame({"kind": 4, "bucket": None, "a": None, "b": None, "n": None, "data": items}).astype({"bucket": "Int32", "a": "Int64", "b": "Int64", "n": "Int32"})
+            yield _cells(4, len(items), data=pa.array(items, pa.binary()))
     del keys, nodes, roles, order, edges, runs
     trim()
 
@@ -264,23 +271,23 @@ def _sent(batches, size: int):
 def _verify(batches, t: int):
     """Streams hub, then its leaves: rows sorted by hub and salt, the hub's own set first."""
     hub, own = None, None
-    for pdf in batches:
+    for batch in batches:
         good = []
-        for a, salt, b, grams in zip(pdf["a"], pdf["salt"], pdf["b"], pdf["grams"], strict=True):
+        for a, salt, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "grams")), strict=True):
             grams = np.frombuffer(grams, U64)
-            if pd.isna(b):
+            if b is None:
                 hub, own = (a, salt), grams
-                good.append(False)
                 continue
             assert hub == (a, salt)
             both = np.concatenate([own, grams])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             good.append(100 * common >= t * (len(both) - common))
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "ok": good})[pdf["b"].notna()]
+        leaf = batch.column("b").is_valid()
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(leaf), batch.column("b").filter(leaf), pa.array(good, pa.bool_())], names=["a", "b", "ok"])
 
 
-def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int, repeats: bool) -> DataFrame:
+def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
     """``a, b, ok`` of every edge: whether it is a link. Hubs with many leaves are split over tasks by a salt, each with a copy of the hub's set."""
     edges = edges.withColumn("salt", (F.xxhash64("b") % 1000).cast("int"))
     load = edges.groupBy("a").agg(F.count("*").alias("leaves"))
@@ -288,10 +295,9 @@ def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int, repeats: bool
     place = lambda hub: F.struct("a", "salt", F.lit(hub).alias("hub")).alias("to")
     places = edges.select(F.col("b").alias("doc_id"), place(False)).union(edges.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), place(True)))
     places = places.groupBy("doc_id").agg(F.collect_list("to").alias("to"))
-    texts = docs.groupBy("doc_id").agg(F.first("text").alias("text")) if repeats else docs
-    rows_ = texts.join(places, "doc_id").mapInArrow(lambda it: _sent(it, size), "a long, salt int, b long, grams binary")
+    rows_ = docs.join(places, "doc_id").mapInArrow(lambda it: _sent(it, size), "a long, salt int, b long, grams binary")
     rows_ = rows_.repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows_.mapInPandas(lambda it: _verify(it, t), "a long, b long, ok boolean")
+    return rows_.mapInArrow(lambda it: _verify(it, t), "a long, b long, ok boolean")
 
 
 def _members(batches):
@@ -429,37 +435,33 @@ def _compare_blocks(batches, t: int):
         yield done()
 
 
-def _within_families(families: DataFrame, table: DataFrame, docs: DataFrame, size: int, t: int, repeats: bool) -> DataFrame:
-    """All further links ``a, b`` that join components of a family. Large families are split into blocks by a hash; tasks get pairs of blocks."""
+def _within_families(families: DataFrame, table: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame | None:
+    """All further links ``a, b`` that join components of a family; None if there is no family.
+
+    Large families are split into blocks by a hash, and tasks get pairs of blocks: a set of a family of
+    k blocks is sent k times.
+    """
     members = families.join(_sizes(table), "node")
     blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int")
-    load = members.groupBy("family").agg(blocks.alias("blocks"))
+    load = members.groupBy("family").agg(blocks.alias("blocks"), F.sum("n").alias("held"))
+    sent_bytes = load.agg(F.sum(8 * F.col("held") * F.col("blocks")).alias("x")).first().x
+    if sent_bytes is None:
+        return None
     placed = members.join(load, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     to = F.struct("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component")
     places = placed.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(to).alias("to"))
-    texts = docs.groupBy("doc_id").agg(F.first("text").alias("text")) if repeats else docs
     kind = "family long, i int, j int, block int, component long, node long, grams binary"
-    sent = texts.join(places, "doc_id").mapInArrow(lambda it: _blocks_sent(it, size), kind)
+    sent = docs.join(places, "doc_id").mapInArrow(lambda it: _blocks_sent(it, size), kind)
     keys = ["family", "i", "j"]
-    return sent.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(lambda it: _compare_blocks(it, t), "a long, b long")
+    tasks = max(partitions(docs.sparkSession), int(sent_bytes // TASK_BYTES) + 1)
+    return sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(lambda it: _compare_blocks(it, t), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
-
-    Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased; a document's set
-    holds its distinct shingles of ``size`` words, or its whole sequence if that is shorter. Two
-    documents link if their Jaccard similarity is at least ``t`` hundredths. The component is the
-    smallest doc_id that links reach.
-
-    Null and blank texts have no shingle and no link. A null doc_id keeps its row with a null
-    component and takes no part in links. Rows that share a doc_id are one node. Other columns are
-    ignored. An empty table gives an empty table.
-    """
+def _node_components(docs: DataFrame, chars: int, size: int, t: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of ``docs(doc_id, text)``, whose ids are distinct or null."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     # More buckets than other shuffles have tasks: a task unpacks its signatures into arrays.
-    buckets = 3 * partitions(spark)
+    buckets = max(3 * partitions(spark), chars // BUCKET_CHARS + 1)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COST_SAMPLE)) == 0).select("text")
 
     def hashes(it):
@@ -467,12 +469,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(grams.to_pylist()), np.int64))], names=["g"])
 
     often = sample.mapInArrow(hashes, "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COST_COUNT).orderBy(F.desc("n"), "g").limit(COST_MOST)
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r.g for r in often.collect()], np.int64).view(U64)))
+    frequent = spark.sparkContext.broadcast(np.sort(np.frombuffer(np.array([r.g for r in often.collect()], np.int64).tobytes(), U64)))
     cells = docs.mapInArrow(lambda it: _emit(it, frequent.value, buckets, size, t), CELLS)
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int"))
-    table = written(cells.withColumn("bucket", spread).repartition(buckets, "bucket").mapInPandas(_stars, CELLS), "stars")
-    del cells, sample, often
-    release(spark)
+    table = written(cells.withColumn("bucket", spread).repartition(buckets, "bucket").mapInArrow(_stars, CELLS), "stars")
+    frequent.destroy()
+    trim()
     classes = written(_classes(table), "classes")
     equal = classes.select(F.col("first").alias("a"), F.col("node").alias("b"))
     edges = _to_first(_to_first(table.where("kind = 3").select("a", "b").distinct(), classes, "a"), classes, "b")
@@ -481,24 +483,63 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame
     large = _sizes(table)
     edges = edges.join(large.toDF("a", "n_a"), "a").join(large.toDF("b", "n_b"), "b")
     edges = edges.where(100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")).select("a", "b")
-    repeats = table.where("kind = 0 and a is not null").agg((F.count("a") - F.count_distinct("a")).alias("n")).first().n > 0
-    checked = written(_checked(edges, docs, size, t, repeats), "checked", SET_ROWS)
-    release(spark)
-    links = equal.union(checked.where("ok").select("a", "b"))
-    found = components(links)
+    checked = written(_checked(edges, docs, size, t), "checked", SET_ROWS)
+    found = written(components(equal.union(checked.where("ok").select("a", "b"))), "found")
     families = written(_families(table, classes, found), "families")
-    if not families.isEmpty():
-        more = written(_within_families(families, table, docs, size, t, repeats), "links", SET_ROWS)
-        if not more.isEmpty():
-            found = components(links.union(more))
+    links = _within_families(families, table, docs, size, t)
+    if links is not None:
+        found = joined(found, written(links, "more", SET_ROWS))
     sizes = table.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
+
+    Words are runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased; a document's set
+    holds its distinct shingles of ``size`` words, or its whole sequence if that is shorter. Two
+    documents link if their Jaccard similarity is at least ``t`` hundredths. The component is the
+    smallest doc_id that links reach.
+
+    Null and blank texts have no shingle and no link. A null doc_id keeps its row with a null
+    component and takes no part in links. Rows that share a doc_id are linked; each text has its own
+    set. Other columns are ignored. An empty table gives an empty table.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    by_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    whole = by_id.agg(F.max(F.when(F.col("doc_id").isNotNull(), F.col("n"))).alias("n"), F.sum("chars").alias("chars")).first()
+    if (whole.n or 0) < 2:
+        return _node_components(docs, whole.chars or 0, size, t)
+    # One node a text; nodes of one id are linked.
+    keyed = docs.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+    sets = written(_node_components(keyed.where("node is not null").select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), whole.chars or 0, size, t), "sets")
+    ids = written(keyed.select("doc_id", "node").distinct(), "ids")
+    same = ids.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    links = ids.join(same, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").union(sets.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+    parts = components(links)
+    placed = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = placed.where("node is not null").join(least, "component").select(F.col("node").alias("key"), "component_id").distinct()
+    sizes = sets.select(F.col("doc_id").alias("key"), "n_shingles")
+    known = keyed.where("node is not null").select("doc_id", F.col("node").alias("key")).join(placed, "key").join(sizes, "key").select("doc_id", "n_shingles", "component_id")
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return known
+    return known.union(nameless.mapInArrow(lambda it: _nameless(it, size), "doc_id long, n_shingles long, component_id long"))
+
+
+def _nameless(batches, size: int):
+    """Set sizes of rows without an id."""
+    for batch in batches:
+        for _, grams in _sets([batch], size):
+            none = pa.nulls(len(grams), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array([len(x) // 8 for x in grams.to_pylist()], pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
+
+
 def near_duplicate_representatives(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component: one document of each group stays.
 
     Repeats of one doc_id stay as they are; a null doc_id stays. All columns are kept.
     """
-    gone = jaccard_components(only(docs, "doc_id", "text"), size, t).where("component_id <> doc_id").select("doc_id")
+    gone = jaccard_components(only(docs, "doc_id", "text"), size, t).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

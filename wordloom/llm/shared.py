@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -60,13 +59,6 @@ def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of DataFrames that are no longer referenced."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set to suit the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
