@@ -106,9 +106,24 @@ def test_rates_reach_the_least_squares_optimum(spark):
     rng = np.random.default_rng(3)
     p, t = rng.dirichlet([0.3] * 3, 300), rng.integers(1, 50, 300)
     soft = spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(t, p, strict=True)], "tokens long, posterior array<double>")
-    history, reached = mixing.fit_rates(soft, [0.6, 0.3, 0.1], 1.0)
-    assert reached == pytest.approx([0.6, 0.3, 0.1], abs=2e-3)
-    assert (mixing._rates(p, history)[0] >= 0).all()
+    fitted = mixing.fit_rates(soft, [0.6, 0.3, 0.1], 1.0)
+    assert fitted.met and fitted.reached == pytest.approx([0.6, 0.3, 0.1], abs=2e-3)
+    assert (mixing._rates(p, fitted.history)[0] >= 0).all()
+
+
+def test_rates_of_targets_out_of_reach(spark):
+    """No domain of its own holds the third target: the totals are as near as those of a plain nonnegative least-squares solver."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([2, 2, 1], 200) * [1, 1, 0.3]
+    p, t = np.repeat(p / p.sum(1, keepdims=True), 2, axis=0), rng.integers(1, 50, 400)
+    soft = spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(t, p, strict=True)], "tokens long, posterior array<double>")
+    fitted = mixing.fit_rates(soft, [0.05, 0.05, 0.9], 1.0)
+    target, a = np.array([0.05, 0.05, 0.9]) * t.sum(), (p * t[:, None]).T
+    r = np.ones(len(t))
+    for _ in range(20_000):
+        r = np.maximum(0, r - a.T @ (a @ r - target) / np.linalg.norm(a, 2) ** 2)
+    miss = lambda x: np.square(x - target / t.sum()).sum()
+    assert not fitted.met and miss(fitted.reached) <= miss(a @ r / t.sum()) + 1e-4
 
 
 def planted(seed=1):
