@@ -72,12 +72,54 @@ def test_toxicity(spark):
 
 def test_label_model_counts_copies_once():
     rng = np.random.default_rng(1)
-    y = rng.random(2000) < 0.3
-    vote = lambda p: np.where(rng.random(2000) < p, np.where(y, 1, -1), np.where(y, -1, 1)).astype(np.int8)
+    y = rng.random(4000) < 0.3
+    vote = lambda p: np.where(rng.random(4000) < p, y, ~y)
     weak = vote(0.6)
-    votes = np.stack([vote(0.9), vote(0.9), vote(0.85), weak, weak, weak, weak], 1)
-    q = toxicity.label_model(votes, 0.3)
-    assert ((q > 0.5) == y).mean() > 0.93
+    code, back = np.unique(np.stack([vote(0.9), vote(0.9), vote(0.85), weak, weak, weak, weak], 1), axis=0, return_inverse=True)
+    known = rng.random(4000) < 0.2
+    counts = [np.bincount(back.ravel(), m, len(code)) for m in (~known, known & ~y, known & y)]
+    q = toxicity.label_model(code, *counts).posterior(code)[back.ravel()]
+    assert np.mean((q > 0.5) == y) > 0.93
+
+
+def test_label_model_recovers_voters():
+    """Voters of known accuracy, two of which repeat each other: rates, the tie and the posterior, against sums over all cases."""
+    rng = np.random.default_rng(2)
+    y = rng.random(40_000) < 0.2
+    rate = np.array([[0.05, 0.1, 0.02, 0.3], [0.7, 0.6, 0.5, 0.35]])
+    fired = rng.random((len(y), 4)) < rate[y.astype(int)]
+    copy = np.where(rng.random(len(y)) < 0.9, fired[:, 0], rng.random(len(y)) < 0.3)
+    fired = np.column_stack([fired, copy])
+    code, back = np.unique(fired, axis=0, return_inverse=True)
+    known = rng.random(len(y)) < 0.1
+    counts = [np.bincount(back.ravel(), m, len(code)) for m in (~known, known & ~y, known & y)]
+    model = toxicity.label_model(code, *counts)
+    assert model.parent[4] == 0 or model.parent[0] == 4
+    assert model.prior == pytest.approx(0.2, abs=0.02)
+    for label in (0, 1):
+        for j in range(4):
+            cases = np.array([[b >> i & 1 for i in range(5)] for b in range(32)], bool)
+            p = np.exp(model.likelihood(cases)[:, label])
+            assert p.sum() == pytest.approx(1) and p[cases[:, j]].sum() == pytest.approx(rate[label, j], abs=0.05)
+    joint = np.exp(model.likelihood(code)) * [1 - model.prior, model.prior]
+    assert model.posterior(code) == pytest.approx(joint[:, 1] / joint.sum(1))
+    truth = np.array([y[back.ravel() == i].mean() for i in range(len(code))])
+    often = np.bincount(back.ravel()) > 300
+    assert np.abs(model.posterior(code) - truth)[often].max() < 0.12
+    blind = toxicity.label_model(code, np.bincount(back.ravel()).astype(float), np.zeros(len(code)), np.zeros(len(code)))
+    good = lambda m: np.corrcoef(m.posterior(code)[back.ravel()], y)[0, 1]
+    assert good(blind) > 0.8 * good(model)
+
+
+def test_votes(spark):
+    lists = {"you are an idiot": {"stupidity", "insulted reader"}, "please thanks": {"no term", "polite"}, "IDIOT AND SCUM YOU FOOLISH MAN!!": {"stupidity", "worth", "several insults", "shouting", "exclamations"}, "a *** b": {"masked", "no term"}, "": {"no term"}}
+    for text, want in lists.items():
+        (f,) = toxicity._found(pa.array([text]), np.zeros(0, np.uint64))
+        assert {toxicity.VOTERS[j] for j in np.flatnonzero(f.fired[0])} == want
+    odd = spark.createDataFrame([(1, "you idiot", "x"), (1, "you idiot", "y"), (None, None, None)], "doc_id long, text string, score string").withColumn("held_out", F.lit(3)).withColumn("code", F.lit("c"))
+    assert sorted(str((r.doc_id, r.code > 0)) for r in toxicity.votes(odd, np.zeros(0, np.uint64)).collect()) == ["(1, True)", "(1, True)", "(None, True)"]
+    silent = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert [r.predicted for r in toxicity.score(odd, silent).collect()] == [0, 0, 0]
 
 
 def test_mixing(spark):
