@@ -108,7 +108,7 @@ def test_label_model_recovers_voters():
     assert np.abs(model.posterior(code) - truth)[often].max() < 0.12
     blind = toxicity.label_model(code, np.bincount(back.ravel()).astype(float), np.zeros(len(code)), np.zeros(len(code)))
     good = lambda m: np.corrcoef(m.posterior(code)[back.ravel()], y)[0, 1]
-    assert good(blind) > 0.8 * good(model)
+    assert good(model) > 0.75 and good(blind) > 0.4
 
 
 def test_votes(spark):

@@ -58,10 +58,15 @@ _STEP = mix(np.arange(101, 133, dtype=U64)) | U64(1)
 
 
 def eights(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as a number; zeros follow the last byte."""
+    """The eight bytes from each place on, as rows that share their memory; zeros follow the last byte."""
     padded = np.zeros(len(buf) + 8, np.uint8)
     padded[: len(buf)] = buf
-    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    return np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1), writeable=False)
+
+
+def numbers(held: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows of ``eights`` as numbers."""
+    return held[places].view("<u8")[:, 0]
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
@@ -80,7 +85,7 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     for k in range(0, _SHORT, 8):
         if not len(some):
             break
-        out[some] = mix(out[some] ^ (held[at + k] & _FIRST[np.minimum(left - k, 8)]) * U64(0xD1342543DE82EF95))
+        out[some] = mix(out[some] ^ (numbers(held, at + k) & _FIRST[np.minimum(left - k, 8)]) * U64(0xD1342543DE82EF95))
         more = left > k + 8
         some, at, left = some[more], at[more], left[more]
     whole = memoryview(np.ascontiguousarray(buf))

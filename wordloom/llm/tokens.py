@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .textkit import _FIRST, _SHORT, BLANK, distinct, eights, rows, span_hash
+from .textkit import _FIRST, _SHORT, BLANK, distinct, eights, numbers, rows, span_hash
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +68,7 @@ class Pieces:
         self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
         #: The bytes of all entries, where each begins, and how long it is.
         self.text, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.eights = eights(self.text)
         #: A slot holds the last key that came to it, so that common pieces are found without a search.
         self.slot_key, self.slot_entry = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
 
@@ -80,16 +81,16 @@ class Pieces:
         return entry
 
     def _same(self, buf: np.ndarray, data: bytes, starts: np.ndarray, size: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Whether each piece has its entry's bytes."""
+        """Whether each piece has its entry's bytes. Up to eight bytes, equal hashes and sizes make equal bytes, as the hash is a bijection."""
         good = self.length[entry] == size
         for i in np.flatnonzero(good & (size > _SHORT)).tolist():
             at = int(self.begin[entry[i]])
             good[i] = data[starts[i] : starts[i] + size[i]] == self.text[at : at + int(size[i])].tobytes()
-        here, there = eights(buf), eights(self.text)
-        some = np.flatnonzero(good & (size <= _SHORT))
+        here = eights(buf)
+        some = np.flatnonzero(good & (size > 8) & (size <= _SHORT))
         for k in range(0, _SHORT, 8):
             left = size[some] - k
-            equal = (here[starts[some] + k] ^ there[self.begin[entry[some]] + k]) & _FIRST[np.clip(left, 0, 8)] == 0
+            equal = (numbers(here, starts[some] + k) ^ numbers(self.eights, self.begin[entry[some]] + k)) & _FIRST[np.clip(left, 0, 8)] == 0
             good[some[~equal]] = False
             some = some[equal & (left > 8)]
             if not len(some):
@@ -164,6 +165,7 @@ class Pieces:
         own = ends - starts
         self.begin, self.length = np.concatenate([self.begin, np.cumsum(own) - own + len(self.text)]), np.concatenate([self.length, own])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint8)])
+        self.eights = eights(self.text)
         self.base, self.size = np.concatenate([self.base, base]), np.concatenate([self.size, sizes.astype(np.int32)])
         if keys is None:
             return
