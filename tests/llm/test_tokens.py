@@ -38,7 +38,7 @@ def test_pieces_encode_like_whole_texts(texts):
 def test_grammar_round_trip(ids, a, b):
     ids = np.array(ids, np.uint32)
     base, rules, sizes, s = token_binary.compress(ids)
-    assert (token_binary.expand(s, base, rules) == ids).all()
+    assert (token_binary.expand(s, base, rules) == ids).all() and (token_binary.expand(s, base, rules, sizes) == ids).all()
     block = {"base": base, "rules": rules.tobytes(), "sizes": sizes.tobytes(), "sequence": s.tobytes()}
     low, high = sorted((min(a, len(ids)), min(b, len(ids))))
     if high > low:
@@ -77,7 +77,7 @@ def test_grammar_leaves_no_frequent_pair():
     for ids in (np.tile(np.arange(7), 40_000), rng.zipf(1.3, 60_000) % 500, np.zeros(5000)):
         ids = ids.astype(np.uint32)
         base, rules, sizes, s = token_binary.compress(ids)
-        assert (token_binary.expand(s, base, rules) == ids).all()
+        assert (token_binary.expand(s, base, rules) == ids).all() and (token_binary.expand(s, base, rules, sizes) == ids).all()
         seen = {}
         last = None
         for i, pair in enumerate(zip(s[:-1].tolist(), s[1:].tolist(), strict=True)):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import partitions, shared_path, small_batches
-from .textkit import distinct, trim
+from .textkit import trim
 from .tokens import encode
 
 END_ID = 0
@@ -83,34 +83,44 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         # Where two frequent pairs overlap, the more frequent one has the place.
         rank = np.empty(len(count), np.int32)
         rank[np.argsort(count, kind="stable")] = np.arange(1, len(count) + 1)
-        at = np.zeros(len(s) + 1, np.int32)
+        at = np.zeros(len(s) + 2, np.int32)
         at[place + 1] = np.repeat(rank, count)
-        wins = place[(at[place + 1] > at[place]) & (at[place + 1] > at[np.minimum(place + 2, len(s))])]
+        own = at[place + 1]
+        wins = place[(own > at[place]) & (own > at[place + 2])]
         used = np.bincount(at[wins + 1], minlength=len(count) + 1)[rank]
         chosen = np.flatnonzero(used >= LEAST_COUNT)
         number = np.full(len(count) + 1, -1, np.int64)
         number[rank[chosen]] = np.arange(len(chosen))
-        new = number[at[wins + 1]]
-        wins, new = wins[new >= 0], new[new >= 0]
-        s[wins] = (base + made + new).astype(np.uint32)
-        stays, kept = np.ones(len(s), bool), np.ones(len(s), bool)
-        stays[wins + 1] = False
-        kept[wins] = kept[wins + 1] = False
-        s = s[stays]
-        # Only pairs with a new symbol, and frequent ones that lost places, can be frequent now; a last round looks at all.
-        now = np.cumsum(stays) - 1
-        fresh = now[wins]
-        look = distinct(np.concatenate([fresh, fresh - 1, now[place[kept[place] & kept[place + 1]]]]))
-        look = look[(look >= 0) & (look < len(s) - 1)]
+        changed = np.zeros(len(s), bool)
+        changed[wins[number[at[wins + 1]] >= 0]] = True
+        won = np.flatnonzero(changed)
+        s[won] = (base + made + number[at[won + 1]]).astype(np.uint32)
+        lost = won + 1
+        changed[lost] = True
+        rest = place[~(changed[place] | changed[place + 1])]
+        s = np.delete(s, lost)
         sizes = np.concatenate([sizes, sizes[left[chosen]] + sizes[right[chosen]]])
         rules.append(np.stack([left[chosen], right[chosen]], 1))
         made += len(chosen)
+        # Only pairs with a new symbol, and frequent ones that lost places, can be frequent now; a last round looks at all.
+        fresh = won - np.arange(len(won))
+        near = np.zeros(len(s), bool)
+        near[fresh] = near[fresh[fresh > 0] - 1] = near[rest - np.searchsorted(lost, rest)] = True
+        near[-1] = False
+        look = np.flatnonzero(near)
     return base, np.concatenate(rules), sizes[base:], s
 
 
-def expand(s: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids of a sequence of symbols."""
+def expand(s: np.ndarray, base: int, rules: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids of a sequence of symbols. With the ``sizes`` of the rules' expansions, these are worked out once and copied."""
     rules = rules.reshape(-1, 2)
+    if sizes is not None and 0 < len(rules) and sizes.sum(dtype=np.int64) < 4 * len(s):
+        flat = np.concatenate([np.arange(base, dtype=np.uint32), expand(rules.ravel(), base, rules)])
+        size = np.concatenate([np.ones(base, np.int64), sizes])
+        begin = np.cumsum(size) - size
+        count = size[s]
+        at = np.cumsum(count) - count
+        return flat[np.repeat(begin[s] - at, count) + np.arange(count.sum())]
     while (wide := s >= base).any():
         begin = np.concatenate([[0], np.cumsum(wide + 1)])
         out = np.empty(begin[-1], np.uint32)
@@ -195,7 +205,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                s = expand(np.frombuffer(row["sequence"], "<u4"), row["base"], np.frombuffer(row["rules"], "<u4"))
+                s = expand(np.frombuffer(row["sequence"], "<u4"), row["base"], np.frombuffer(row["rules"], "<u4"), np.frombuffer(row["sizes"], "<u4"))
                 ends = np.cumsum(row["lengths"])
                 begins = ends - np.array(row["lengths"])
                 data = s.astype("<u4").tobytes()
