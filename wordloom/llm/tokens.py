@@ -47,6 +47,12 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return distinct(np.concatenate([blank[_solid(buf, blank - 1) & ~BLANK[buf[blank + 1]]], offsets[:-1]]))
 
 
+def _spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the pieces, one after the other."""
+    size = ends - starts
+    return buf[np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)]
+
+
 class Pieces:
     """Ids of the pieces seen so far in this worker. Emptied at ``MOST`` pieces."""
 
@@ -148,7 +154,7 @@ class Pieces:
         if len(many):
             length = ends[many] - starts[many]
             total = np.cumsum(length)
-            text = b"".join(data[a:b] for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True))
+            text = _spelled(buf, starts[many], ends[many]).tobytes()
             stop = total[distinct(np.append(np.searchsorted(total, np.arange(self.JOINED, total[-1], self.JOINED)), len(total) - 1))]
             ids, _ = self._encoded([text[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)])
             reach = np.cumsum(self.bytes[ids])
@@ -164,7 +170,7 @@ class Pieces:
         entry = np.arange(len(self.base), len(self.base) + len(starts), dtype=np.int32)
         own = ends - starts
         self.begin, self.length = np.concatenate([self.begin, np.cumsum(own) - own + len(self.text)]), np.concatenate([self.length, own])
-        self.text = np.concatenate([self.text, np.frombuffer(b"".join([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint8)])
+        self.text = np.concatenate([self.text, _spelled(buf, starts, ends)])
         self.eights = eights(self.text)
         self.base, self.size = np.concatenate([self.base, base]), np.concatenate([self.size, sizes.astype(np.int32)])
         if keys is None:
