@@ -107,7 +107,7 @@ SELECT recording_id, min(s) AS start_idx, max(e) AS end_idx FROM hr GROUP BY rec
 
 
 _TURNS = f"""
-tt AS (SELECT conv_id AS recording_id, arg_min(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS ua, arg_min(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END) AS ub
+tt AS (SELECT conv_id AS recording_id, string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'user') AS ua, string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant') AS ub
   FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
 tp AS (SELECT recording_id, {_WORDS.replace('text', "coalesce(ua, '')")} AS a, {_WORDS.replace('text', "coalesce(ub, '')")} AS b FROM tt)"""
 
