@@ -15,7 +15,9 @@ give a star around one of them, not all pairs. Where verification breaks stars,
 in different components may still be linked. Components that runs of signatures tie together are
 compared as a family, in blocks: parities of hashed slots bound the differences of all pairs of a
 block from below, the few pairs that pass are compared exactly, and only links that join components
-leave the task.
+leave the task. Before that, sketches (the parities of one to two slots a shingle, in all a few
+hundredths of the texts) rule out star edges and split families, so that texts are sent only for what
+may well be linked. What the sketches rule out is no link, whatever the sets.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ SEEN_MOST = 500_000
 SET_ROWS = 64
 #: Shingles and rows of a block of a family, about, and bytes of sets that a task gets.
 BLOCK_SHINGLES, BLOCK_ROWS, TASK_BYTES = 1 << 22, 4096, 1 << 26
+#: The same for blocks of sketches, and bytes of the name before a sketch.
+TIE_SHINGLES, TIE_ROWS, NAME_BYTES = 1 << 26, 1 << 14, 24
 #: Characters of text whose signatures make a bucket, about.
 BUCKET_CHARS = 1 << 23
 CELLS = "kind int, bucket int, a long, b long, n int, data binary"
@@ -145,7 +149,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
-    """Rows of kind 0 (document, set size and name of its set) and 2 (packed signatures of the sets that are new in this task)."""
+    """Rows of kind 0 (document, set size, name and sketch of its set) and 2 (packed signatures of the sets that are new in this task)."""
     low = bands(1, t)
     seen: set[bytes] = set()
     held: list[tuple[np.ndarray, int, np.ndarray]] = []
@@ -180,7 +184,8 @@ def _emit(batches, frequent: np.ndarray, buckets: int, size: int, t: int):
                 sizes[i] = len(tokens)
                 if doc is None:
                     continue
-                names[i] = name = np.array([len(tokens), np.bitwise_xor.reduce(tokens), tokens.sum()], U64).tobytes()
+                name = np.array([len(tokens), np.bitwise_xor.reduce(tokens), tokens.sum()], U64).tobytes()
+                names[i] = name + _parities(tokens, 1, 6).tobytes()
                 if name in seen:
                     continue
                 if len(seen) < SEEN_MOST:
@@ -257,47 +262,42 @@ def _sets(batches, size: int):
             yield first, pa.array(data, pa.binary())
 
 
-def _sent(batches, size: int):
-    """The set of each text, once for each place where it is compared."""
-    for batch in batches:
-        for first, grams in _sets([batch], size):
-            to = batch.column("to").slice(first, len(grams))
-            row = pa.array(np.repeat(np.arange(len(to)), to.value_lengths().to_numpy()))
-            a, salt, hub = to.flatten().flatten()
-            ids = batch.column("doc_id").slice(first, len(grams)).take(row)
-            yield pa.RecordBatch.from_arrays([a, salt, pc.if_else(hub, pa.scalar(None, pa.int64()), ids), grams.take(row)], names=["a", "salt", "b", "grams"])
-
-
-def _verify(batches, t: int):
-    """Streams hub, then its leaves: rows sorted by hub and salt, the hub's own set first."""
+def _verify(batches, size: int, t: int):
+    """Streams hub, then its leaves: rows sorted by hub and salt, the hub's own text first."""
     hub, own = None, None
     for batch in batches:
         good = []
-        for a, salt, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "grams")), strict=True):
-            grams = np.frombuffer(grams, U64)
-            if b is None:
-                hub, own = (a, salt), grams
-                continue
-            assert hub == (a, salt)
-            both = np.concatenate([own, grams])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(100 * common >= t * (len(both) - common))
+        for first, sets in _sets([batch], size):
+            ids = (batch.column(c).slice(first, len(sets)).to_pylist() for c in ("a", "salt", "b"))
+            for a, salt, b, grams in zip(*ids, sets.to_pylist(), strict=True):
+                grams = np.frombuffer(grams, U64)
+                if b is None:
+                    hub, own = (a, salt), grams
+                    continue
+                assert hub == (a, salt)
+                both = np.concatenate([own, grams])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(100 * common >= t * (len(both) - common))
         leaf = batch.column("b").is_valid()
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(leaf), batch.column("b").filter(leaf), pa.array(good, pa.bool_())], names=["a", "b", "ok"])
 
 
 def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
-    """``a, b, ok`` of every edge: whether it is a link. Hubs with many leaves are split over tasks by a salt, each with a copy of the hub's set."""
+    """``a, b, ok`` of every edge: whether it is a link. Hubs with many leaves are split over tasks by a salt, each with a copy of the hub's text.
+
+    Texts travel, which take less than half the bytes of their sets.
+    """
     edges = edges.withColumn("salt", (F.xxhash64("b") % 1000).cast("int"))
     load = edges.groupBy("a").agg(F.count("*").alias("leaves"))
     edges = edges.join(load, "a").withColumn("salt", F.pmod("salt", F.ceil(F.col("leaves") / 256).cast("int"))).drop("leaves")
     place = lambda hub: F.struct("a", "salt", F.lit(hub).alias("hub")).alias("to")
     places = edges.select(F.col("b").alias("doc_id"), place(False)).union(edges.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), place(True)))
     places = places.groupBy("doc_id").agg(F.collect_list("to").alias("to"))
-    rows_ = docs.join(places, "doc_id").mapInArrow(lambda it: _sent(it, size), "a long, salt int, b long, grams binary")
+    rows_ = docs.join(places, "doc_id").select("doc_id", "text", F.explode("to").alias("to"))
+    rows_ = rows_.select("to.a", "to.salt", F.when(~F.col("to.hub"), F.col("doc_id")).alias("b"), "text")
     rows_ = rows_.repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows_.mapInArrow(lambda it: _verify(it, t), "a long, b long, ok boolean")
+    return rows_.mapInArrow(lambda it: _verify(it, size, t), "a long, b long, ok boolean")
 
 
 def _members(batches):
@@ -310,9 +310,26 @@ def _sizes(table: DataFrame) -> DataFrame:
     return table.where("kind = 0 and a is not null").groupBy(F.col("a").alias("node")).agg(F.max("n").alias("n"))
 
 
+def _sketches(table: DataFrame) -> DataFrame:
+    """``node, n, sketch`` of every document with a set."""
+    sketch = F.expr(f"substring(data, {NAME_BYTES + 1})")
+    return table.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("node"), "n", sketch.alias("sketch"))
+
+
+def _may_link(batches, t: int):
+    """The edges ``a, b`` whose sketches don't rule a link out."""
+    for batch in batches:
+        good = []
+        for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True):
+            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            left, right = _folded([x, y], min(len(x), len(y)))
+            good.append(int(np.bitwise_count(left ^ right).sum(dtype=np.int64)) <= difference(n_a + n_b, t))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _classes(table: DataFrame) -> DataFrame:
     """``node, first`` of every document whose set an earlier one has too; ``first`` is the smallest of them."""
-    named = table.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("node"), "data")
+    named = table.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("node"), F.substring("data", 1, NAME_BYTES).alias("data"))
     firsts = named.groupBy("data").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
     return named.join(firsts, "data").where("node <> first").select("node", "first").distinct()
 
@@ -338,19 +355,9 @@ def _families(table: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     return placed.select("node", "component").distinct().join(ties, "component")
 
 
-def _blocks_sent(batches, size: int):
-    """The set of each text, once for each pair of blocks that it is in."""
-    for batch in batches:
-        for first, grams in _sets([batch], size):
-            to = batch.column("to").slice(first, len(grams))
-            row = pa.array(np.repeat(np.arange(len(to)), to.value_lengths().to_numpy()))
-            ids = batch.column("doc_id").slice(first, len(grams)).take(row)
-            yield pa.RecordBatch.from_arrays([*to.flatten().flatten(), ids, grams.take(row)], names=["family", "i", "j", "block", "component", "node", "grams"])
-
-
-def _parities(grams: np.ndarray) -> np.ndarray:
-    """For each of at least four slots a shingle, whether it holds an odd number: packed in 64-bit words."""
-    width = 1 << max(8, int(4 * len(grams) - 1).bit_length())
+def _parities(grams: np.ndarray, each: int = 4, least: int = 8) -> np.ndarray:
+    """For each of at least ``each`` slots a shingle (2 to the power of ``least`` in all), whether it holds an odd number: packed in 64-bit words."""
+    width = 1 << max(least, int(each * len(grams) - 1).bit_length())
     odd = np.bincount((grams & U64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(U64)
 
@@ -370,8 +377,24 @@ def block_links(nodes: list[int], parts: list[int], sides: list[int], sets: list
     nearly all pairs by a count of bits. The others are compared exactly, the likeliest first, unless
     links joined them before.
     """
-    size, side = np.array([len(x) for x in sets]), np.array(sides)
-    parities = [_parities(g) for g in sets]
+
+    def linked(p: int, q: int) -> bool:
+        merged = np.sort(np.concatenate([sets[p], sets[q]]))
+        common = int((merged[1:] == merged[:-1]).sum())
+        return 100 * common >= t * (len(merged) - common)
+
+    found = _joining([len(x) for x in sets], [_parities(g) for g in sets], parts, sides, linked, t)
+    return [(nodes[p], nodes[q]) for p, q in found]
+
+
+def block_ties(parts: list[int], sides: list[int], sizes: list[int], sketches: list[np.ndarray], t: int) -> list[tuple[int, int]]:
+    """Pairs of components, as few as join the same, that hold a pair of sets whose sketches don't rule a link out."""
+    return [(parts[p], parts[q]) for p, q in _joining(sizes, sketches, parts, sides, lambda p, q: True, t)]
+
+
+def _joining(sizes: list[int], parities: list[np.ndarray], parts: list[int], sides: list[int], linked, t: int) -> list[tuple[int, int]]:
+    """Pairs of places that pass the bound by parities and ``linked``, and join components not yet joined."""
+    size, side = np.array(sizes), np.array(sides)
     roots = {p: p for p in parts}
 
     def root(p: int) -> int:
@@ -405,56 +428,92 @@ def block_links(nodes: list[int], parts: list[int], sides: list[int], sets: list
             x, y = root(parts[p]), root(parts[q])
             if x == y:
                 continue
-            merged = np.sort(np.concatenate([sets[p], sets[q]]))
-            common = int((merged[1:] == merged[:-1]).sum())
-            if 100 * common >= t * (len(merged) - common):
+            if linked(p, q):
                 roots[max(x, y)] = min(x, y)
-                links.append((nodes[p], nodes[q]))
+                links.append((p, q))
     return links
 
 
-def _compare_blocks(batches, t: int):
+def _compare_blocks(batches, size: int, t: int):
     """Streams rows sorted by family and pair of blocks; a group is worked on when the next one begins."""
     key, held = None, []
 
     def done():
         nodes, parts, sides, sets = zip(*held, strict=True)
-        links = block_links(list(nodes), list(parts), list(sides), list(sets), t)
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+        links = np.array(block_links(list(nodes), list(parts), list(sides), list(sets), t), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    for pdf in batches:
-        for family, i, j, block, component, node, grams in pdf.itertuples(index=False):
+    for batch in batches:
+        for first, sets in _sets([batch], size):
+            columns = (batch.column(c).slice(first, len(sets)).to_pylist() for c in ("family", "i", "j", "block", "component", "node"))
+            for family, i, j, block, component, node, grams in zip(*columns, sets.to_pylist(), strict=True):
+                if (family, i, j) != key:
+                    if held:
+                        yield done()
+                        held.clear()
+                        trim()
+                    key = (family, i, j)
+                held.append((node, component, int(block != i), np.frombuffer(grams, U64)))
+    if held:
+        yield done()
+
+
+def _compare_sketches(batches, t: int):
+    """Streams sketches sorted by family and pair of blocks, and gives ties between components."""
+    key, held = None, []
+
+    def done():
+        parts, sides, sizes, sketches = zip(*held, strict=True)
+        ties = np.array(block_ties(list(parts), list(sides), list(sizes), list(sketches), t), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("family", "i", "j", "block", "component", "n", "sketch"))
+        for family, i, j, block, component, n, sketch in zip(*columns, strict=True):
             if (family, i, j) != key:
                 if held:
                     yield done()
                     held.clear()
                     trim()
                 key = (family, i, j)
-            held.append((node, component, int(block != i), np.frombuffer(grams, U64)))
+            held.append((component, int(block != i), n, np.frombuffer(sketch, U64)))
     if held:
         yield done()
 
 
-def _within_families(families: DataFrame, table: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame | None:
-    """All further links ``a, b`` that join components of a family; None if there is no family.
+def _placed(members: DataFrame, shingles_: int, rows_: int) -> DataFrame:
+    """``members`` of families once for each pair ``i, j`` of blocks that they are in; ``blocks``, ``block``.
 
     Large families are split into blocks by a hash, and tasks get pairs of blocks: a set of a family of
     k blocks is sent k times.
     """
-    members = families.join(_sizes(table), "node")
-    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int")
-    load = members.groupBy("family").agg(blocks.alias("blocks"), F.sum("n").alias("held"))
-    sent_bytes = load.agg(F.sum(8 * F.col("held") * F.col("blocks")).alias("x")).first().x
+    blocks = F.ceil(F.greatest(F.sum("n") / shingles_, F.count("*") / rows_)).cast("int")
+    load = members.groupBy("family").agg(blocks.alias("blocks"))
+    placed = members.join(load, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+
+def _split(families: DataFrame, table: DataFrame, t: int) -> DataFrame:
+    """``node, component, family`` after families are split into those that the sketches of their sets tie together."""
+    placed = _placed(families.join(_sketches(table), "node"), TIE_SHINGLES, TIE_ROWS)
+    keys = ["family", "i", "j"]
+    sent = placed.select(*keys, "block", "component", "n", "sketch").repartition(partitions(table.sparkSession), *keys).sortWithinPartitions(*keys)
+    ties = components(sent.mapInArrow(lambda it: _compare_sketches(it, t), "a long, b long"))
+    return families.drop("family").join(ties.toDF("component", "family"), "component").select("node", "component", "family")
+
+
+def _within_families(families: DataFrame, table: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame | None:
+    """All further links ``a, b`` that join components of a family; None if there is no family."""
+    placed = written(_placed(families.join(_sizes(table), "node"), BLOCK_SHINGLES, BLOCK_ROWS), "placed")
+    sent_bytes = placed.agg(F.sum(8 * F.col("n")).alias("x")).first().x
     if sent_bytes is None:
         return None
-    placed = members.join(load, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    to = F.struct("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component")
+    to = F.struct("family", "i", "j", "block", "component")
     places = placed.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(to).alias("to"))
-    kind = "family long, i int, j int, block int, component long, node long, grams binary"
-    sent = docs.join(places, "doc_id").mapInArrow(lambda it: _blocks_sent(it, size), kind)
+    sent = docs.join(places, "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("to.*", F.col("doc_id").alias("node"), "text")
     keys = ["family", "i", "j"]
     tasks = max(partitions(docs.sparkSession), int(sent_bytes // TASK_BYTES) + 1)
-    return sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(lambda it: _compare_blocks(it, t), "a long, b long")
+    return sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _compare_blocks(it, size, t), "a long, b long")
 
 
 def _node_components(docs: DataFrame, chars: int, size: int, t: int) -> DataFrame:
@@ -482,10 +541,14 @@ def _node_components(docs: DataFrame, chars: int, size: int, t: int) -> DataFram
     # Sets whose sizes alone rule a link out needn't meet.
     large = _sizes(table)
     edges = edges.join(large.toDF("a", "n_a"), "a").join(large.toDF("b", "n_b"), "b")
-    edges = edges.where(100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")).select("a", "b")
+    edges = written(edges.where(100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")).select("a", "b"), "edges")
+    # Nor those whose sketches do.
+    sketch = _sketches(table)
+    edges = edges.join(sketch.toDF("a", "n_a", "s_a"), "a").join(sketch.toDF("b", "n_b", "s_b"), "b")
+    edges = written(edges.mapInArrow(lambda it: _may_link(it, t), "a long, b long"), "likely")
     checked = written(_checked(edges, docs, size, t), "checked", SET_ROWS)
     found = written(components(equal.union(checked.where("ok").select("a", "b"))), "found")
-    families = written(_families(table, classes, found), "families")
+    families = written(_split(written(_families(table, classes, found), "runs"), table, t), "families")
     links = _within_families(families, table, docs, size, t)
     if links is not None:
         found = joined(found, written(links, "more", SET_ROWS))

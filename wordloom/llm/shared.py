@@ -36,25 +36,35 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """Arrow batches of at most ``rows`` rows for what runs meanwhile."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+def _setting(spark: SparkSession, key: str, value: str):
+    """The session's ``key`` has this value for what runs meanwhile."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of at most ``rows`` rows for what runs meanwhile."""
+    before = int(spark.conf.get(_BATCH))
+    return _setting(spark, _BATCH, str(min(rows, before) if before > 0 else rows))
 
 
 def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The table cuts the lineage and survives the loss of any executor. ``rows`` bounds Arrow batches.
+    Spark drops the shuffle files of the write at its end, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with small_batches(spark, rows):
+    with small_batches(spark, rows), _setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
