@@ -85,8 +85,16 @@ def ctc_arcs(tokens: DataFrame, by: str = "doc_id") -> DataFrame:
     return t.select(by, F.explode(F.filter(arcs, lambda a: a.isNotNull())).alias("arc")).select(by, "arc.*")
 
 
+def _ties(score: np.ndarray, best) -> np.ndarray:
+    """Scores that differ from the best by no more than rounding, as sums of the same terms in another order do."""
+    return score >= best - 1e-9 * (1 + np.abs(best))
+
+
 def viterbi(logp: np.ndarray, arcs: np.ndarray, beam: float = 20.0) -> tuple[list[int], float] | None:
-    """The best path's arcs, one a frame, and its score; None if no path ends. ``arcs``: src, dst, label, aux, score."""
+    """The best path's arcs, one a frame, and its score; None if no path ends. ``arcs``: src, dst, label, aux, score.
+
+    Of paths with equal scores, up to rounding, the one that opens more tokens is taken, then the one by the earlier arc.
+    """
     src, dst, label = arcs[:, 0].astype(int), arcs[:, 1].astype(int), arcs[:, 2].astype(int)
     score = arcs[:, 4]
     states = int(max(src.max(), dst.max())) + 1
@@ -97,20 +105,28 @@ def viterbi(logp: np.ndarray, arcs: np.ndarray, beam: float = 20.0) -> tuple[lis
     group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
     at = np.full(states, -np.inf)
     at[0] = 0.0
+    # Tokens and the end that each arc announces, and that each state's path has: skips and returns have higher symbols.
+    opens = ((arcs[order, 3] > 0) & (arcs[order, 3] <= (states - 1) // 2)).astype(np.int64)
+    opened = np.zeros(states, np.int64)
     back = np.full((len(logp), states), -1, np.int32)
     for t, frame in enumerate(logp):
         got = at[src[order]] + score[order] + frame[label[order]]
         best = np.maximum.reduceat(got, begin)
+        tied = _ties(got, best[group])
+        so_far = np.where(tied, opened[src[order]] + opens, -1)
+        most = np.maximum.reduceat(so_far, begin)
         pick = np.full(len(begin), len(order))
-        np.minimum.at(pick, group, np.where(got == best[group], np.arange(len(order)), len(order)))
+        np.minimum.at(pick, group, np.where(tied & (so_far == most[group]), np.arange(len(order)), len(order)))
         at = np.full(states, -np.inf)
         at[dst[order[begin]]] = best
+        opened = np.zeros(states, np.int64)
+        opened[dst[order[begin]]] = most
         at[at < at.max() - beam] = -np.inf
         back[t, dst[order[begin]]] = order[np.minimum(pick, len(order) - 1)]
     closing = at[src[ends]] + score[ends]
     if not len(ends) or not np.isfinite(closing.max()):
         return None
-    k = ends[int(closing.argmax())]
+    k = ends[int(_ties(closing, closing.max()).argmax())]
     state, path = src[k], []
     for t in range(len(logp) - 1, -1, -1):
         path.append(int(back[t, state]))
