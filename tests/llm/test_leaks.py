@@ -1,10 +1,11 @@
-"""Leaks of long and of brief benchmark items."""
+"""Leaks of long and of brief benchmark items, and the latent space."""
 
 import math
 import random
 
 import numpy as np
 
+from wordloom.llm import decontamination as dc
 from wordloom.llm.decontamination import COSINE, common_subsequence, find_leaks
 
 
@@ -59,3 +60,42 @@ def test_subsequence_in_numbers():
             for j, y in enumerate(b.tolist(), 1):
                 row[j], last = last + 1 if x == y else max(row[j], row[j - 1]), row[j]
         assert common_subsequence(a, b) == row[-1]
+
+
+def test_space_of_all_passages(spark):
+    """The fit takes every passage of every text: its singular values are those of the whole matrix."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.choice((0, 1, 63, 64, 65, 200, 400)))) for _ in range(300)] + [None]
+    terms = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).mapInArrow(dc._terms, dc.TERMS).cache()
+    idf, words = dc.inverse_frequencies(terms)
+    passages = terms.where("part is null").select("terms", "counts", "sizes")
+    assert words == sum(len((t or "").split()) for t in texts)
+    rows = []
+    for t in texts:
+        hashes, _ = dc.word_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")]))
+        rows += [np.bincount(dc._feature(hashes[k : k + dc.FIT_WORDS]), minlength=dc.WIDTH) * idf for k in range(0, len(hashes), dc.FIT_WORDS)]
+    whole = np.stack(rows).astype(np.float64)
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    held = passages.toPandas()
+    assert sum(map(len, held["sizes"])) == len(rows)
+    _, weights, _ = dc._weighed(held, idf)
+    assert np.isclose(np.square(weights, dtype=np.float64).sum(), len(rows))
+    wanted = np.linalg.svd(whole, compute_uv=False)
+    _, got = dc.latent_space(passages, idf, rank=390)
+    got = np.sort(got)[::-1][:390]
+    assert np.allclose(got[:20] / got[0], wanted[:20] / wanted[0], atol=1e-3)
+
+
+def test_runs_of_passages_lose_no_leak():
+    """Spans that share enough words are those that a plain count finds."""
+    rng = np.random.default_rng(2)
+    feature, item = rng.integers(0, 40, 500), rng.integers(0, 40, 16)
+    known, count = np.unique(item, return_counts=True)
+    slot = np.full(dc.WIDTH, -1, np.int16)
+    slot[known] = np.arange(len(known))
+    low = np.arange(0, 480, 4)
+    high = np.minimum(low + 32, 500)
+    got = dict(dc._sharing(feature, slot, low, high, count, 9))
+    shared = [sum(min(c, int((feature[a:z] == k).sum())) for k, c in zip(known, count, strict=True)) for a, z in zip(low, high, strict=True)]
+    assert 0 < len(got) < len(low) and set(got) == {i for i, n in enumerate(shared) if n >= 9}
+    assert all(places.tolist() == [p for p in range(low[i], high[i]) if feature[p] in known] for i, places in got.items())

@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval, with subsequence and answer checks.
 
 Space. Words are hashed to features and weighed by their inverse document frequency over all documents.
-Passages of ``FIT_WORDS`` words, drawn from the whole corpus by a hash of their content, about
-``FIT_PASSAGES`` of them, are unit TF-IDF vectors; a randomised SVD that runs over tasks (a range finder
-with one power step, then a small eigenproblem) gives their ``RANK`` leading right singular vectors. A text
-is the sum of its words' vectors in this space, so words that occur in the same passages are near each other.
-Features that no drawn passage has get fixed random directions.
+All passages of ``FIT_WORDS`` words of all documents are unit TF-IDF vectors; a randomised SVD that runs over
+tasks (a range finder with one power step, then a small eigenproblem) gives their ``RANK`` leading right
+singular vectors. A text is the sum of its words' vectors in this space, so words that occur in the same
+passages are near each other.
+Features that no passage has get fixed random directions.
 
 Search. Every text is cut into overlapping passages of several sizes; an item is compared with those of
 the least size that holds it. All passages are compared with all items in one pass over the documents, in
@@ -13,31 +13,43 @@ blocks. Two cosines make candidates: one of latent vectors as they are, where fr
 ``SUBJECT`` or more, and one with each dimension divided by its singular value, where details count as much,
 of ``COSINE`` or more. A candidate counts if the longest
 common subsequence of words, from half a passage before to half a passage behind, covers ``SURE`` of the
-item, or ``LIKELY`` of it and half of the item's answer, which is its last quarter. Candidates with too few
-words of the item for that aren't aligned.
+item, or ``LIKELY`` of it and half of the item's answer, which is its last quarter. Candidates that share too
+few words with the item for that aren't aligned, nor are those of a run of passages that all its words
+together don't suffice for.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .textkit import U64, distinct, mix, rows, shingles, trim, word_hashes
+from .shared import small_batches, written
+from .textkit import U64, distinct, rows, shingles, trim, word_hashes
 
 WIDTH_BITS = 14
 WIDTH = 1 << WIDTH_BITS
 RANK, OVERSAMPLE = 96, 16
-#: Passages that the space is fitted on, about, and their words.
-FIT_PASSAGES, FIT_WORDS = 1 << 16, 64
-#: Tasks of the fit: each hands over a matrix of features times rank, so a few are best for so many passages.
-FIT_TASKS = 4
+#: Words of the passages that the space is fitted on.
+FIT_WORDS = 64
+#: Passages of a row of their table, and rows of an Arrow batch.
+FIT_ROW, FIT_BATCH = 512, 32
+#: Rows that are worked on at once: the more, the fewer times a feature is visited.
+FIT_ROWS = 128
+#: Tasks of the fit, at least, and words of the corpus for each: a task hands over a matrix of features times rank.
+FIT_TASKS, TASK_WORDS = 8, 1 << 22
+TERMS = "part int, data binary, terms binary, counts binary, sizes binary"
 SIZES = (12, 16, 24, 32, 48, 64)  # and on in this way, up to the longest item
 #: Words whose latent vectors a task holds at a time, besides those of one passage.
-BLOCK_WORDS = 1 << 15
+BLOCK_WORDS = 1 << 13
+#: Words of a column of running sums, a power of two.
+COLUMN = 64
+#: Words of passages that are compared with one item at a time, about.
+ALIGN_WORDS = 1 << 18
 #: Words of the items that one pass over the documents takes at most, or one item.
 PASS_WORDS = 1 << 23
 COSINE, SUBJECT, SURE, LIKELY, ANSWER = 0.5, 0.7, 0.75, 0.55, 0.5
@@ -63,23 +75,42 @@ def _short(words: np.ndarray) -> np.ndarray:
     return (words >> U64(32)).astype("<u4")
 
 
-def _frequencies(batches):
-    """Number of documents with each feature, in slices of the features; part -1 has the numbers of documents and words."""
+def _terms(batches):
+    """The distinct features and their counts of all passages of ``FIT_WORDS`` words, with the passages' numbers of features, in rows of ``FIT_ROW`` passages.
+
+    Last, the number of documents with each feature, in slices of the features; part -1 has the numbers of documents and words.
+    """
+    names = [x.split()[0] for x in TERMS.split(", ")]
     total, documents, count = np.zeros(WIDTH, np.int64), 0, 0
     for batch in batches:
         for first, last, buf, offsets in rows(batch.column("text")):
             words, at = word_hashes(buf, offsets)
-            row = np.repeat(np.arange(last - first), np.diff(at))
-            key = distinct(row << WIDTH_BITS | _feature(words))
-            total += np.bincount(key & (WIDTH - 1), minlength=WIDTH)
             documents += last - first
             count += len(words)
+            if not len(words):
+                continue
+            length = np.diff(at)
+            number = -(-length // FIT_WORDS)
+            base = np.cumsum(number) - number
+            row = np.repeat(np.arange(last - first), length)
+            passage = base[row] + (np.arange(len(words)) - at[row]) // FIT_WORDS
+            key = np.sort(passage << WIDTH_BITS | _feature(words))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, often = key[begin], np.diff(np.append(begin, len(key)))
+            term, passage = key & (WIDTH - 1), key >> WIDTH_BITS
+            total += np.bincount(distinct(np.repeat(np.arange(last - first), number)[passage] << WIDTH_BITS | term) & (WIDTH - 1), minlength=WIDTH)
+            size = np.bincount(passage)
+            edge = np.searchsorted(passage, np.arange(0, len(size) + FIT_ROW, FIT_ROW)).tolist()
+            parts = [[x[a:b].tobytes() for a, b in itertools.pairwise(edge)] for x in (term.astype("<u2"), often.astype(np.uint8))]
+            parts.append([size[k : k + FIT_ROW].astype(np.uint8).tobytes() for k in range(0, len(size), FIT_ROW)])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts[0]), pa.int32()), pa.nulls(len(parts[0]), pa.binary()), *(pa.array(x, pa.binary()) for x in parts)], names=names)
     parts = total.astype("<i8").reshape(16, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 16, dtype=np.int32)), pa.array([np.array([documents, count], "<i8").tobytes(), *(p.tobytes() for p in parts)], pa.binary())], names=["part", "data"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 16, dtype=np.int32)), pa.array([np.array([documents, count], "<i8").tobytes(), *(p.tobytes() for p in parts)], pa.binary()), *(pa.nulls(17, pa.binary()) for _ in range(3))], names=names)
+    trim()
 
 
-def _sum_parts(parts: DataFrame, kind: str, few: bool = False) -> dict[int, np.ndarray]:
-    """Sums ``part, data`` by part: first those of every 64th task, then these sums; of ``few`` tasks at once."""
+def _sum_parts(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """Sums ``part, data`` by part: first those of every 64th task, then these sums."""
 
     def add(key, pdf):
         total = np.frombuffer(pdf["data"].iloc[0], kind).copy()
@@ -87,70 +118,80 @@ def _sum_parts(parts: DataFrame, kind: str, few: bool = False) -> dict[int, np.n
             total += np.frombuffer(x, kind)
         return pd.DataFrame({"part": [key[0]], "data": [total.tobytes()]})
 
-    some = parts if few else parts.groupBy("part", F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane")).applyInPandas(add, "part int, data binary")
+    some = parts.groupBy("part", F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane")).applyInPandas(add, "part int, data binary")
     return {r.part: np.frombuffer(r.data, kind) for r in some.groupBy("part").applyInPandas(add, "part int, data binary").collect()}
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Inverse document frequency of every feature, over all documents, and the number of words."""
-    got = _sum_parts(docs.select("text").mapInArrow(_frequencies, "part int, data binary"), "<i8")
+def inverse_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse document frequency of every feature, over all documents, and the number of words, from a table of ``_terms``."""
+    got = _sum_parts(terms.where("part is not null").select("part", "data"), "<i8")
     documents, count = got.pop(-1, np.zeros(2, np.int64)).tolist()
     df = np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(WIDTH)
     return (np.log((1 + documents) / (1 + df)) + 0.1).astype(np.float32), count
 
 
-def _drawn(batches, share: float):
-    """The features of the passages that the space is fitted on."""
-    most = np.uint64(min(1.0, share) * (2**64 - 2**11))
-    for batch in batches:
-        out = []
-        for _, _, buf, offsets in rows(batch.column("text")):
-            words, at = word_hashes(buf, offsets)
-            for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                begin = np.arange(a, z, FIT_WORDS)
-                if not len(begin):
-                    continue
-                draw = mix(np.add.reduceat(words[a:z], begin - a) * U64(0x9E3779B97F4A7C15))
-                out += [_feature(words[i : min(i + FIT_WORDS, z)]).astype("<u2").tobytes() for i in begin[draw <= most].tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["terms"])
-
-
-def _matrix(pdf: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of drawn passages: features, their weights in the unit vectors, where each passage begins, and the passage of each feature."""
-    size = pdf["terms"].map(len).to_numpy() // 2
-    term = np.frombuffer(b"".join(pdf["terms"]), "<u2").astype(np.int64)
-    begin = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(size)), size)
-    # The squared norm needs each feature's count in its passage.
-    key, back, count = np.unique(row << WIDTH_BITS | term, return_inverse=True, return_counts=True)
-    norm = np.sqrt(np.bincount(row, np.square(idf[term]) * count[back]))
-    return term, (idf[term] / np.maximum(norm, 1e-9)[row]).astype(np.float32), begin, row
-
-
-def _pieces(pdf: pd.DataFrame, most: int = 1000):
-    for i in range(0, len(pdf), most):
-        yield pdf.iloc[i : i + most]
+def _weighed(pdf: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of passages: their distinct features, the weights of these in the unit vectors, and each passage's number of features."""
+    term, often, size = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("terms", "<u2"), ("counts", np.uint8), ("sizes", np.uint8)))
+    term, size = term.astype(np.int64), size.astype(np.int64)
+    value = idf[term] * often
+    norm = np.sqrt(np.add.reduceat(np.square(value, dtype=np.float64), np.cumsum(size) - size))
+    return term, (value / np.repeat(np.maximum(norm, 1e-9), size)).astype(np.float32), size
+
+
+def _joined(batches):
+    """The frames in runs of about ``FIT_ROWS`` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= FIT_ROWS:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def _times(term: np.ndarray, value: np.ndarray, size: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The passages' vectors times ``basis``. A few at a time, in the same memory."""
+    at = np.arange(FIT_WORDS) < size[:, None]
+    index, weight = np.zeros(at.shape, np.int64), np.zeros((len(size), 1, FIT_WORDS), np.float32)
+    index[at], weight[:, 0][at] = term, value
+    out = np.empty((len(size), 1, basis.shape[1]), np.float32)
+    held = np.empty((32, FIT_WORDS, basis.shape[1]), np.float32)
+    for k in range(0, len(size), 32):
+        part = index[k : k + 32]
+        np.matmul(weight[k : k + 32], np.take(basis, part, axis=0, out=held[: len(part)], mode="clip"), out=out[k : k + 32])
+    return out[:, 0]
+
+
+def _add_transposed(out: np.ndarray, term: np.ndarray, value: np.ndarray, size: np.ndarray, low: np.ndarray) -> None:
+    """Adds the transposed passages' vectors times ``low`` to ``out``, feature by feature."""
+    order = np.argsort(term.astype("<u2"), kind="stable")
+    row, value, term = np.repeat(np.arange(len(size)), size)[order], value[order], term[order]
+    begin = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    held = np.empty((256, low.shape[1]), np.float32)
+    for t, a, z in zip(term[begin].tolist(), begin.tolist(), np.append(begin[1:], len(term)).tolist(), strict=True):
+        for k in range(a, z, len(held)):
+            stop = min(z, k + len(held))
+            out[t] += value[k:stop] @ np.take(low, row[k:stop], axis=0, out=held[: stop - k], mode="clip")
 
 
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """A latent vector of each feature (features, rank), over the singular values, and these, from ``passages(terms)``."""
+    """A latent vector of each feature (features, rank), over the singular values, and these, from ``passages(terms, counts, sizes)``."""
     spark = passages.sparkSession
     wide = rank + OVERSAMPLE
 
     def gathered(batches, basis: np.ndarray, square: bool):
         """The sum over passages p of p p' basis, or of its product with basis'."""
         out = np.zeros((wide, wide) if square else (WIDTH, wide), np.float64 if square else np.float32)
-        for whole in batches:
-            for pdf in _pieces(whole):
-                term, value, begin, row = _matrix(pdf, idf)
-                low = np.add.reduceat(basis[term] * value[:, None], begin, axis=0)
-                if square:
-                    out += low.T.astype(np.float64) @ low
-                    continue
-                order = np.argsort(term, kind="stable")
-                t = term[order]
-                opens = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                out[t[opens]] += np.add.reduceat(low[row[order]] * value[order, None], opens, axis=0)
+        for pdf in _joined(batches):
+            term, value, size = _weighed(pdf, idf)
+            low = _times(term, value, size, basis)
+            if square:
+                out += low.T @ low
+            else:
+                _add_transposed(out, term, value, size, low)
         kind = "<f8" if square else "<f4"
         for k in range(0, len(out), 4096):
             yield pd.DataFrame({"part": [k], "data": [out[k : k + 4096].astype(kind).tobytes()]})
@@ -158,7 +199,8 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
 
     def product(basis: np.ndarray, square: bool) -> np.ndarray:
         sent = spark.sparkContext.broadcast(basis)
-        sums = _sum_parts(passages.mapInPandas(lambda it: gathered(it, sent.value, square), "part int, data binary"), "<f8" if square else "<f4", few=True)
+        with small_batches(spark, FIT_BATCH):
+            sums = _sum_parts(passages.mapInPandas(lambda it: gathered(it, sent.value, square), "part int, data binary"), "<f8" if square else "<f4")
         sent.destroy()
         out = np.zeros((wide, wide) if square else (WIDTH, wide), np.float64 if square else np.float32)
         for k, x in sums.items():
@@ -195,7 +237,7 @@ class Items:
             words, at = word_hashes(buf, offsets)
             for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 self.words.append(_short(words[a:z]))
-                self.features.append(np.unique(_feature(words[a:z])))
+                self.features.append(np.unique(_feature(words[a:z]), return_counts=True))
                 v = space[_feature(words[a:z])].sum(0, dtype=np.float64)
                 vectors.append(v)
         answers = [w[-max(1, len(w) // 4) :] for w in self.words]
@@ -204,10 +246,13 @@ class Items:
         #: The least passage size that holds an item.
         size = np.array([next(s for s in sizes if s >= len(w)) for w in self.words])
         self.of_size = {s: np.flatnonzero(size == s) for s in sorted(set(size.tolist()))}
-        self.squares = np.square(singular)
+        #: For the squared lengths of a passage's vectors: as it is, and with the singular values.
+        self.squares = np.stack([np.ones(len(singular)), np.square(singular)], 1).astype(np.float32)
         unit = lambda x: (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T
-        self.details = {s: unit(np.stack([vectors[j] for j in own])).astype(np.float32) for s, own in self.of_size.items()}
-        self.subjects = {s: (unit(np.stack([vectors[j] for j in own]) * singular) * singular[:, None]).astype(np.float32) for s, own in self.of_size.items()}
+        details = {s: unit(np.stack([vectors[j] for j in own])) for s, own in self.of_size.items()}
+        subjects = {s: unit(np.stack([vectors[j] for j in own]) * singular) * singular[:, None] for s, own in self.of_size.items()}
+        #: By size, a column for each item's details and then one for each item's subject.
+        self.columns = {s: np.concatenate([details[s], subjects[s]], 1).astype(np.float32) for s in self.of_size}
 
 
 def _windows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,53 +264,134 @@ def _windows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, begin, np.minimum(begin + size, at[1:][row])
 
 
-def _candidates(feature: np.ndarray, at: np.ndarray, space: np.ndarray, items: Items):
-    """Runs of ``item, row, begin, end, low, high, cosine`` of all passages near an item; low and high are the words to align."""
+class _Sums:
+    """Running sums of a block of words' latent vectors, in columns of ``COLUMN`` words; its memory is used again."""
+
+    def __init__(self, space: np.ndarray):
+        self.space, self.held = space, np.zeros((1, space.shape[1]), np.float32)
+        self.ends = np.empty((2, 0, space.shape[1]), np.float32)
+
+    def fill(self, feature: np.ndarray) -> None:
+        self.columns = -(-len(feature) // COLUMN)
+        n, rank = self.columns * COLUMN, self.space.shape[1]
+        if len(self.held) <= n:
+            self.held = np.empty((n + 1, rank), np.float32)
+        #: Before the first word.
+        self.zero = n
+        self.held[n] = 0
+        index = np.zeros(n, np.int64)
+        index[: len(feature)] = feature
+        np.take(self.space, index.reshape(-1, COLUMN).T.ravel(), axis=0, out=self.held[:n], mode="clip")
+        sums = self.held[:n].reshape(COLUMN, self.columns * rank)
+        for k in range(1, COLUMN):
+            np.add(sums[k], sums[k - 1], out=sums[k])
+        before = np.zeros((self.columns, rank), np.float32)
+        np.cumsum(sums[-1].reshape(self.columns, rank)[:-1], axis=0, out=before[1:])
+        sums += before.ravel()
+
+    def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The sums of the words from ``begin`` up to ``end``, until the next call."""
+        if self.ends.shape[1] < len(begin):
+            self.ends = np.empty((2, len(begin), self.space.shape[1]), np.float32)
+        for x, out in zip((end, begin), self.ends, strict=True):
+            x = x - 1
+            place = (x & COLUMN - 1) * self.columns + (x >> COLUMN.bit_length() - 1)
+            place[x < 0] = self.zero
+            np.take(self.held, place, axis=0, out=out[: len(x)], mode="clip")
+        return np.subtract(self.ends[0, : len(begin)], self.ends[1, : len(begin)], out=self.ends[0, : len(begin)])
+
+
+def _near(feature: np.ndarray, at: np.ndarray, sums: _Sums, items: Items) -> tuple[np.ndarray, ...]:
+    """``item, row, begin, low, high, cosine`` of all passages near an item, by item and place; low and high are the words to align."""
     windows = {s: _windows(at, s) for s in items.of_size}
-    member = np.zeros(WIDTH, bool)
+    out = [(np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.float32),)]
     for origin in range(0, len(feature), BLOCK_WORDS):
         mine = {s: slice(*np.searchsorted(begin, [origin, origin + BLOCK_WORDS])) for s, (_, begin, _) in windows.items()}
         stop = max([origin, *(int(end[mine[s]].max()) for s, (_, _, end) in windows.items() if mine[s].stop > mine[s].start)])
-        sums = np.zeros((stop - origin + 1, space.shape[1]), np.float32)
-        np.cumsum(space[feature[origin:stop]], axis=0, out=sums[1:])
+        if stop == origin:
+            continue
+        sums.fill(feature[origin:stop])
         for size, (row, begin, end) in windows.items():
             row, begin, end = row[mine[size]], begin[mine[size]], end[mine[size]]
-            for k in range(0, len(begin), 4096):
-                part = slice(k, k + 4096)
-                z = sums[end[part] - origin] - sums[begin[part] - origin]
-                squares = z * z
-                near = z @ items.details[size] / np.maximum(np.sqrt(squares.sum(1)), 1e-9)[:, None]
-                like = z @ items.subjects[size] / np.maximum(np.sqrt(squares @ items.squares), 1e-9)[:, None]
-                item, which = np.nonzero(((near >= COSINE) | (like >= SUBJECT)).T)
-                near = np.maximum(near, like)
-                for j in np.unique(item).tolist():
-                    i = which[item == j]
+            own = items.of_size[size]
+            for k in range(0, len(begin), 1024):
+                part = slice(k, k + 1024)
+                z = sums.between(begin[part] - origin, end[part] - origin)
+                alike = z @ items.columns[size]
+                length = np.maximum(np.sqrt(np.maximum(np.square(z, out=z) @ items.squares, 0)), 1e-9)
+                alike = alike.reshape(len(z), 2, len(own))
+                hit = np.flatnonzero(alike >= (length * (COSINE, SUBJECT)).astype(np.float32)[:, :, None])
+                if len(hit):
+                    i, j = np.divmod(hit, 2 * len(own))
+                    i, j = np.divmod(distinct(i * len(own) + j % len(own)), len(own))
                     r, b, e = row[part][i], begin[part][i], end[part][i]
-                    low, high = np.maximum(at[r], b - size // 2), np.minimum(at[r + 1], e + size // 2)
-                    own = items.of_size[size][j]
-                    member[items.features[own]] = True
-                    held = np.concatenate([[0], np.cumsum(member[feature[low.min() : high.max()]])])
-                    member[items.features[own]] = False
-                    good = held[high - low.min()] - held[low - low.min()] >= LIKELY * len(items.words[own])
-                    if good.any():
-                        yield own, r[good], b[good], e[good], low[good], high[good], near[i[good], j]
+                    near = (alike[i, :, j] / length[i]).max(1)
+                    out.append((own[j], r, b, np.maximum(at[r], b - size // 2), np.minimum(at[r + 1], e + size // 2), near))
+    found = [np.concatenate(x) for x in zip(*out, strict=True)]
+    order = np.argsort(found[0], kind="stable")
+    return tuple(x[order] for x in found)
+
+
+def _aligned(feature: np.ndarray, short: np.ndarray, at: np.ndarray, sums: _Sums, items: Items):
+    """``item, row, begin, cosine, share, answer's share`` of all passages that leak an item.
+
+    Runs of passages of a text whose words to align meet are looked at first: what all words of a run don't have, none of its passages has.
+    """
+    item, row, begin, low, high, near = _near(feature, at, sums, items)
+    if not len(item):
+        return
+    slot = np.full(WIDTH, -1, np.int16)
+    opens = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1])]))
+    ends = np.append(opens[1:], len(item))
+    edge = np.flatnonzero(np.concatenate([[True], item[opens[1:]] != item[opens[:-1]], [True]]))
+    for a, z in itertools.pairwise(edge.tolist()):
+        own = int(item[opens[a]])
+        known, count = items.features[own]
+        size, words_at, _, _ = items.places[own]
+        need = np.ceil(LIKELY * size - 1e-9)
+        slot[known] = np.arange(len(known))
+        for run, words in _sharing(feature, slot, low[opens[a:z]], high[ends[a:z] - 1], count, need):
+            mine = slice(opens[a + run], ends[a + run])
+            if ends[a + run] - opens[a + run] > 1 and covered(words_at, size, short[words].tolist()) < need:
+                continue
+            for k, words in _sharing(feature, slot, low[mine], high[mine], count, need):
+                share, last_share = aligned(items.places[own], short[words].tolist())
+                if share >= SURE or share >= LIKELY and last_share >= ANSWER:
+                    i = mine.start + k
+                    yield own, int(row[i]), int(begin[i]), float(near[i]), share, last_share
+        slot[known] = -1
+
+
+def _sharing(feature: np.ndarray, slot: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray, need: float):
+    """The spans that share ``need`` words with an item at least, and the places of their words with its features.
+
+    ``slot`` has each feature's number in the item, or -1; ``count`` is how often the item has it.
+    """
+    step = max(1, ALIGN_WORDS // int((high - low).max()))
+    for k in range(0, len(low), step):
+        first, length = low[k : k + step], (high - low)[k : k + step]
+        place = np.arange(length.sum()) + np.repeat(first - np.cumsum(length) + length, length)
+        which = slot[feature[place]]
+        good = np.flatnonzero(which >= 0)
+        span, place = np.repeat(np.arange(len(first)), length)[good], place[good]
+        shared = np.bincount(span * len(count) + which[good], minlength=len(first) * len(count)).reshape(len(first), -1)
+        bound = np.searchsorted(span, np.arange(len(first) + 1))
+        for i in np.flatnonzero(np.minimum(shared, count).sum(1) >= need).tolist():
+            yield k + i, place[bound[i] : bound[i + 1]]
 
 
 def _search(batches, items: Items, space: np.ndarray):
     """Leaks of each batch: of a document and an item the best passage."""
+    sums = _Sums(space)
     for batch in batches:
         best: dict = {}
         for first, last, buf, offsets in rows(batch.column("text")):
             words, at = word_hashes(buf, offsets)
-            ids, short = batch.column("doc_id").slice(first, last - first).to_pylist(), _short(words)
-            for own, *found in _candidates(_feature(words), at, space, items):
-                for r, b, _, low, high, near in zip(*(x.tolist() for x in found), strict=True):
-                    if ids[r] is None:
-                        continue
-                    share, last_share = aligned(items.places[own], short[low:high].tolist())
-                    if share >= SURE or share >= LIKELY and last_share >= ANSWER:
-                        value = (share, last_share, near, -(b - int(at[r])))
-                        best[ids[r], items.ids[own]] = max(value, best.get((ids[r], items.ids[own]), value))
+            ids = batch.column("doc_id").slice(first, last - first).to_pylist()
+            for own, r, b, near, share, last_share in _aligned(_feature(words), _short(words), at, sums, items):
+                if ids[r] is not None:
+                    value = (share, last_share, near, -(b - int(at[r])))
+                    best[ids[r], items.ids[own]] = max(value, best.get((ids[r], items.ids[own]), value))
         trim()
         out = [(d, i, -back, near, share, last_share) for (d, i), (share, last_share, near, back) in best.items()]
         yield _leaks(out)
@@ -367,10 +493,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
         found = docs.mapInArrow(lambda it: _exact(it, known), LEAKS)
     for block in _blocks(asked.where(F.col("n") >= LEAST_WORDS)):
         if space is None:
-            idf, words = inverse_frequencies(docs)
-            share = FIT_PASSAGES * FIT_WORDS / max(1, words)
-            passages = written(docs.select("text").mapInArrow(lambda it: _drawn(it, share), "terms binary"), "passages")
-            space, singular = latent_space(passages.repartition(FIT_TASKS), idf, rank)
+            terms = written(docs.select("text").mapInArrow(_terms, TERMS), "passages")
+            idf, words = inverse_frequencies(terms)
+            passages = terms.where("part is null").select("terms", "counts", "sizes")
+            space, singular = latent_space(passages.coalesce(max(FIT_TASKS, -(-words // TASK_WORDS))), idf, rank)
             trim()
         sent = spark.sparkContext.broadcast((Items([r.item_id for r in block], [r.text for r in block], space, singular), space))
         part = docs.mapInArrow(lambda it, sent=sent: _search(it, *sent.value), LEAKS)
