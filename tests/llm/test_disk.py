@@ -63,3 +63,32 @@ def test_edges_that_sketches_rule_out_are_no_links():
     kept = set(next(iter(nj._may_link([pa.RecordBatch.from_pydict(columns)], 75))).column("a").to_pylist())
     linked = {k for k, x, y in rows if 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))}
     assert linked <= kept and len(kept) < len(rows)
+
+
+def test_only_wanted_texts_are_sent(spark):
+    """Of many texts, a join of few nodes gets all of theirs and few others."""
+    docs = spark.range(-5000, 15000).selectExpr("if(id = 7, null, id) as doc_id", "if(id % 10 = 0, null, concat('text ', id)) as text")
+    nodes = spark.range(0, 9000, 3).selectExpr("id as doc_id")
+    got = {r.doc_id: r.text for r in nj._among(docs, nodes).collect()}
+    want = set(range(0, 9000, 3))
+    assert want <= set(got) and None not in got and len(set(got) - want) < 0.1 * 20000
+    assert all(text == (None if d % 10 == 0 else f"text {d}") for d, text in got.items())
+    assert nj._among(docs, nodes.limit(0)).count() == 0
+
+
+def test_verified_edges_do_not_send_all_texts(spark):
+    from pyspark.sql import Row
+
+    rows = [Row(doc_id=i, text=" ".join(f"w{i}x{k}" for k in range(9))) for i in range(4000)] + [Row(doc_id=9000 + i, text=f"same words in this text of ten words {i % 2} so") for i in range(4)]
+    docs = spark.createDataFrame(rows).repartition(4)
+    edges = spark.createDataFrame([(9000, 9002), (9001, 9003), (9000, 9001), (5, 6)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = nj._checked(edges, docs, 5, 75)
+        assert {(r.a, r.b): r.ok for r in found.collect()} == {(9000, 9002): True, (9001, 9003): True, (9000, 9001): False, (5, 6): False}
+        plan = found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The texts pass the filter before the exchange of the join.
+    assert plan.count("MapInArrow filtered") >= 1

@@ -46,6 +46,8 @@ SET_ROWS = 64
 BLOCK_SHINGLES, BLOCK_ROWS, TASK_BYTES = 1 << 22, 4096, 1 << 26
 #: The same for blocks of sketches, and bytes of the name before a sketch.
 TIE_SHINGLES, TIE_ROWS, NAME_BYTES = 1 << 26, 1 << 14, 24
+#: Bits of the filter that texts meet before they are sent: about this many for each wanted node, within these powers of two.
+FILTER_EACH, FILTER_LEAST, FILTER_MOST = 16, 16, 28
 #: Characters of text whose signatures make a bucket, about.
 BUCKET_CHARS = 1 << 23
 CELLS = "kind int, bucket int, a long, b long, n int, data binary"
@@ -283,11 +285,33 @@ def _verify(batches, size: int, t: int):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(leaf), batch.column("b").filter(leaf), pa.array(good, pa.bool_())], names=["a", "b", "ok"])
 
 
+def _among(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, text)`` whose doc_id is in ``nodes(doc_id)``, and a few in a hundred others: what a join with ``nodes`` needs of ``docs``.
+
+    A bit stands for each hash of a node, so texts are dropped where they are read and a join doesn't send them all.
+    """
+    spark = docs.sparkSession
+    bits = 1 << min(FILTER_MOST, max(FILTER_LEAST, (FILTER_EACH * nodes.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = nodes.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()
+    wanted = np.zeros(bits // 64, np.int64)
+    wanted[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    sent = spark.sparkContext.broadcast(wanted)
+
+    def filtered(batches):
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(filtered, "doc_id long, text string")
+
+
 def _checked(edges: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
     """``a, b, ok`` of every edge: whether it is a link. Hubs with many leaves are split over tasks by a salt, each with a copy of the hub's text.
 
-    Texts travel, which take less than half the bytes of their sets.
+    Texts travel, which take less than half the bytes of their sets, and of these only the edges' own and a few more.
     """
+    docs = _among(docs, edges.select(F.explode(F.array("a", "b")).alias("doc_id")))
     edges = edges.withColumn("salt", (F.xxhash64("b") % 1000).cast("int"))
     load = edges.groupBy("a").agg(F.count("*").alias("leaves"))
     edges = edges.join(load, "a").withColumn("salt", F.pmod("salt", F.ceil(F.col("leaves") / 256).cast("int"))).drop("leaves")
@@ -510,7 +534,7 @@ def _within_families(families: DataFrame, table: DataFrame, docs: DataFrame, siz
         return None
     to = F.struct("family", "i", "j", "block", "component")
     places = placed.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(to).alias("to"))
-    sent = docs.join(places, "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("to.*", F.col("doc_id").alias("node"), "text")
+    sent = _among(docs, placed.select(F.col("node").alias("doc_id"))).join(places, "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("to.*", F.col("doc_id").alias("node"), "text")
     keys = ["family", "i", "j"]
     tasks = max(partitions(docs.sparkSession), int(sent_bytes // TASK_BYTES) + 1)
     return sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _compare_blocks(it, size, t), "a long, b long")
