@@ -178,3 +178,28 @@ def test_url_rules(spark):
     assert filter_urls(df, none, "block").where("verdict = 'block' and rule is null").count() == len(urls) + 1 and filter_urls(df.limit(0), none).count() == 0
     plan = filter_urls(df, none)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_texts_have_the_library_s_spans_without_asking_for_them(monkeypatch):
+    """Spans of whole texts follow from the ids' bytes: the encoding without offsets is enough, and equals the one with them."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aé ß日本🙂👍🏽́‍\n\t  x1.,'\u0000ÿ") for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "a <|endoftext|> b", "plain words, and more"]
+    path = tokenizer_path()
+    tokenizer, bytewise = tokens.load(path)
+    assert bytewise
+
+    class Fast:
+        def __getattr__(self, name):
+            assert name != "encode_batch"
+            return getattr(tokenizer, name)
+
+    monkeypatch.setattr(tokens, "load", lambda p: (Fast(), True))
+    monkeypatch.setattr(tokens, "WHOLE_BYTES", 500)
+    seen = 0
+    for low, ids, at, begin, end in tokens.encode_whole(pa.array(texts, pa.string()), path):
+        for i in range(len(at) - 1):
+            want = tokenizer.encode(texts[low + i] or "", add_special_tokens=False)
+            assert ids[at[i] : at[i + 1]].tolist() == want.ids
+            assert list(zip(begin[at[i] : at[i + 1]].tolist(), end[at[i] : at[i + 1]].tolist(), strict=True)) == want.offsets
+            seen += 1
+    assert seen == len(texts)

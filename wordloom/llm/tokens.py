@@ -189,22 +189,45 @@ WHOLE_BYTES = 1 << 18
 
 
 def encode_whole(column: pa.Array, path: str):
-    """Runs of rows of a string column, each text encoded whole and once: first row, ids, each row's first id, and the ids' code-point spans."""
-    tokenizer, _ = load(path)
+    """Runs of rows of a string column, each text encoded whole and once: first row, ids, each row's first id, and the ids' code-point spans.
+
+    The ids of a byte-level tokenizer are its text's bytes in order, so their spans follow from their numbers
+    of bytes, and the library needn't make them. Other tokenizers give their own.
+    """
+    tokenizer, bytewise = load(path)
     texts = [x or "" for x in column.to_pylist()]
+    chain = itertools.chain.from_iterable
     low = weight = 0
     for i, t in enumerate(texts):
         weight += len(t)
         if weight < WHOLE_BYTES and i + 1 < len(texts):
             continue
-        found = tokenizer.encode_batch(texts[low : i + 1], add_special_tokens=False)
+        own = texts[low : i + 1]
+        found = [x.ids for x in tokenizer.encode_batch_fast(own, add_special_tokens=False)] if bytewise else tokenizer.encode_batch(own, add_special_tokens=False)
         at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        chain = itertools.chain.from_iterable
-        pairs = np.fromiter(chain(chain(x.offsets) for x in found), np.int64, 2 * int(at[-1])).reshape(-1, 2)
-        yield low, np.fromiter(chain(x.ids for x in found), np.uint32, int(at[-1])), at, pairs[:, 0], pairs[:, 1]
+        if bytewise:
+            ids = np.fromiter(chain(found), np.uint32, int(at[-1]))
+            begin, end = _spans(own, ids, at, _held(path).bytes)
+        else:
+            ids = np.fromiter(chain(x.ids for x in found), np.uint32, int(at[-1]))
+            begin, end = np.fromiter(chain(chain(x.offsets) for x in found), np.int64, 2 * int(at[-1])).reshape(-1, 2).T
+        yield low, ids, at, begin, end
         low, weight = i + 1, 0
 
 
+def _spans(texts: list[str], ids: np.ndarray, at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code-point spans of the ids of texts, from the bytes of each id."""
+    data = [t.encode() for t in texts]
+    edge = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    size = held[ids]
+    stop = np.cumsum(size)
+    if (np.concatenate([[0], stop])[at] != edge).any():
+        raise ValueError("the ids' bytes are not those of the text")
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(b"".join(data), np.uint8) & 0xC0) != 0x80)])
+    origin = np.repeat(points[edge[:-1]], np.diff(at))
+    return points[stop - size + 1] - 1 - origin, points[stop] - origin
+
+
 def encode(column: pa.Array, path: str, spans: bool = False):
     """For each chunk of a string column: first row, ids, each row's first id, and with ``spans`` the ids' code-point spans.
 
