@@ -33,6 +33,29 @@ def test_pieces_encode_like_whole_texts(texts):
                 assert x.offsets == list(zip(begin[at[i] : at[i + 1]].tolist(), end[at[i] : at[i + 1]].tolist(), strict=True))
 
 
+PARTS = ["he", "É", "à", "×", "÷", "ñ", "'s", "'", "''ll", "7", ".", "!!", "$#", "\n", "\n\n", " ", "\u00a0", "\u0085", "語", "<|endoftext|>", "<|endoftext", "|>", "e\u0301"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), max_size=4))
+def test_fine_pieces_encode_like_whole_texts(texts):
+    """Signs, line feeds and added tokens between letters, marks and blanks of all kinds."""
+    whole = tokens.load(tokenizer_path())[0]
+    for first, ids, at, *_ in tokens.encode(pa.array(texts, pa.string()), tokenizer_path()):
+        for i in range(len(at) - 1):
+            assert whole.encode(texts[first + i], add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_words_are_encoded_without_their_signs(monkeypatch):
+    """A word is encoded once, whatever sign or line follows it."""
+    held = tokens.Pieces(tokens.load(tokenizer_path())[0])
+    monkeypatch.setattr(tokens, "_held", lambda path: held)
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    text = "".join(f" {w}{s}" for s in ("", ",", ".", "!!", ".\nAnd") for w in words)
+    list(tokens.encode(pa.array([text]), tokenizer_path()))
+    assert len(held.base) < 2 * len(words)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=400), st.integers(0, 400), st.integers(0, 400))
 def test_grammar_round_trip(ids, a, b):

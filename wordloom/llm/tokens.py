@@ -1,9 +1,10 @@
 """Encoding with a tokenizers file: whole texts with their offsets, or ids alone with each distinct piece encoded once.
 
 The pre-tokenizer of a byte-level BPE never puts a single blank and the solid character before it in
-one token. So a text may be cut before such a blank, and the ids of the text are the ids of its
-pieces in order. Pieces repeat a lot; the library encodes the distinct ones and numpy lays out the
-ids. Pieces are found by a 64-bit hash and then compared byte by byte. Tokenizers of another kind
+one token, nor a letter and a sign behind it, nor a single line feed and its neighbours. So a text may be
+cut there, though not within an added token, and the ids of the text are the ids of its pieces in order.
+Pieces repeat a lot, the more so without their signs; the library encodes the distinct ones and numpy
+lays out the ids. Pieces are found by a 64-bit hash and then compared byte by byte. Tokenizers of another kind
 encode each text whole.
 """
 
@@ -40,11 +41,46 @@ def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (last > 32) & (last < 127) | (last >= 128) & (last < 192) & (before == 0xC3) & (at > 0)
 
 
-def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: rows, and single blanks between a solid character and one that isn't white."""
+#: ASCII letters, and ASCII characters that are no letter, digit or white space.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN[48:58] = False
+_SIGN &= ~_LETTER
+
+
+def _lettered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each byte surely is a letter: a plain one, or one of the block that begins with byte C3, but for its two signs."""
+    last, before = data[at], data[np.maximum(at - 1, 0)]
+    return _LETTER[last] | (last >= 128) & (last < 192) & (before == 0xC3) & (at > 0) & (last != 0x97) & (last != 0xB7)
+
+
+def _inside(data: bytes, places: np.ndarray, added: tuple[bytes, ...]) -> np.ndarray:
+    """Whether each place is within a spelling of an added token, not at its ends."""
+    out = np.zeros(len(places), bool)
+    for token in added:
+        at = data.find(token)
+        while at >= 0:
+            out |= (places > at) & (places < at + len(token))
+            at = data.find(token, at + 1)
+    return out
+
+
+def _cuts(buf: np.ndarray, offsets: np.ndarray, data: bytes, added: tuple[bytes, ...]) -> np.ndarray:
+    """Where pieces begin: rows, single blanks between a solid character and one that isn't white, signs behind a letter, and single line feeds between solid characters, with what follows them."""
     n = len(buf)
-    blank = np.flatnonzero(buf[1 : n - 1] == 32) + 1 if n > 2 else np.zeros(0, np.int64)
-    return distinct(np.concatenate([blank[_solid(buf, blank - 1) & ~BLANK[buf[blank + 1]]], offsets[:-1]]))
+    if n < 3:
+        return distinct(offsets[:-1])
+    inner = buf[1 : n - 1]
+    blank = np.flatnonzero(inner == 32) + 1
+    line = np.flatnonzero(inner == 10) + 1
+    after = buf[line + 1]
+    line = line[_solid(buf, line - 1) & ((after > 32) & (after < 127) | (after == 0xC3))]
+    sign = np.flatnonzero(_SIGN[buf[1:]]) + 1
+    fine = np.concatenate([sign[_lettered(buf, sign - 1)], line, line + 1])
+    fine = fine[~_inside(data, fine, added)]
+    return distinct(np.concatenate([blank[_solid(buf, blank - 1) & ~BLANK[buf[blank + 1]]], fine, offsets[:-1]]))
 
 
 def _spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,6 +98,8 @@ class Pieces:
         self.tokenizer = tokenizer
         vocab = tokenizer.get_vocab(with_added_tokens=True)
         added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        #: No piece begins within one of these.
+        self.added = tuple(t.encode() for t in added if t)
         #: Bytes of each id: a byte-level token has a character for each byte.
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -241,7 +279,7 @@ def encode(column: pa.Array, path: str, spans: bool = False):
     held = _held(path)
     for first, _, buf, offsets in rows(column):
         data = buf.tobytes()
-        starts = _cuts(buf, offsets)
+        starts = _cuts(buf, offsets, data, held.added)
         starts = starts[starts < len(buf)]
         if not len(starts):
             yield first, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), *((np.zeros(0, np.int64),) * 2 if spans else (None, None))
