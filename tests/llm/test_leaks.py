@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from wordloom.llm import decontamination as dc
 from wordloom.llm.decontamination import COSINE, common_subsequence, find_leaks
@@ -99,3 +101,21 @@ def test_runs_of_passages_lose_no_leak():
     shared = [sum(min(c, int((feature[a:z] == k).sum())) for k, c in zip(known, count, strict=True)) for a, z in zip(low, high, strict=True)]
     assert 0 < len(got) < len(low) and set(got) == {i for i, n in enumerate(shared) if n >= 9}
     assert all(places.tolist() == [p for p in range(low[i], high[i]) if feature[p] in known] for i, places in got.items())
+
+
+def test_fit_memory():
+    """A task of the fit holds less than 110 MB besides what it reads, over more passages than it takes at once."""
+    rng = np.random.default_rng(3)
+    n = dc.FIT_ROW
+    term = np.sort(rng.integers(0, dc.WIDTH // 60, (n, 60)) + np.arange(60) * (dc.WIDTH // 60), 1).astype("<u2").tobytes()
+    row = pd.DataFrame({"terms": [term], "counts": [np.ones(60 * n, np.uint8).tobytes()], "sizes": [np.full(n, 60, np.uint8).tobytes()]})
+    idf, basis = np.ones(dc.WIDTH, np.float32), rng.standard_normal((dc.WIDTH, dc.RANK + dc.OVERSAMPLE)).astype(np.float32)
+    whole = np.zeros((n, dc.WIDTH), np.float32)
+    whole[np.repeat(np.arange(n), 60), np.frombuffer(term, "<u2")] = 1 / np.sqrt(60)
+    tracemalloc.start()
+    out = list(dc._gathered((pd.concat([row] * 32) for _ in range(8)), idf, basis, False))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.concatenate([np.frombuffer(x["data"].iloc[0], "<f4") for x in out]).reshape(dc.WIDTH, -1)
+    assert np.allclose(got, 256 * (whole.T @ (whole @ basis)), rtol=1e-3, atol=1e-2)
+    assert most < 110e6

@@ -38,8 +38,10 @@ RANK, OVERSAMPLE = 96, 16
 FIT_WORDS = 64
 #: Passages of a row of their table, and rows of an Arrow batch.
 FIT_ROW, FIT_BATCH = 512, 32
-#: Rows that are worked on at once: the more, the fewer times a feature is visited.
-FIT_ROWS = 128
+#: Rows that are worked on at once: the more, the fewer times a feature is visited, and the more memory it takes.
+FIT_ROWS = 64
+#: Features of a slice of the matrix that a task hands over; the slices of several tasks meet in one.
+FIT_SLICE = 1024
 #: Tasks of the fit, at least, and words of the corpus for each: a task hands over a matrix of features times rank.
 FIT_TASKS, TASK_WORDS = 8, 1 << 22
 TERMS = "part int, data binary, terms binary, counts binary, sizes binary"
@@ -131,12 +133,16 @@ def inverse_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _weighed(pdf: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of passages: their distinct features, the weights of these in the unit vectors, and each passage's number of features."""
-    term, often, size = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("terms", "<u2"), ("counts", np.uint8), ("sizes", np.uint8)))
-    term, size = term.astype(np.int64), size.astype(np.int64)
-    value = idf[term] * often
-    norm = np.sqrt(np.add.reduceat(np.square(value, dtype=np.float64), np.cumsum(size) - size))
-    return term, (value / np.repeat(np.maximum(norm, 1e-9), size)).astype(np.float32), size
+    """Of passages: their distinct features, the weights of these in the unit vectors, and each passage's number of features. Row by row, so that little is held besides."""
+    term, size = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("terms", "<u2"), ("sizes", np.uint8)))
+    out, at = np.empty(len(term), np.float32), 0
+    for counts, sizes in zip(pdf["counts"], pdf["sizes"], strict=True):
+        often, own = np.frombuffer(counts, np.uint8), np.frombuffer(sizes, np.uint8).astype(np.int64)
+        value = idf[term[at : at + len(often)]] * often
+        norm = np.sqrt(np.add.reduceat(np.square(value, dtype=np.float64), np.cumsum(own) - own))
+        out[at : at + len(often)] = value / np.repeat(np.maximum(norm, 1e-9), own)
+        at += len(often)
+    return term, out, size.astype(np.int64)
 
 
 def _joined(batches):
@@ -154,21 +160,25 @@ def _joined(batches):
 
 def _times(term: np.ndarray, value: np.ndarray, size: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """The passages' vectors times ``basis``. A few at a time, in the same memory."""
-    at = np.arange(FIT_WORDS) < size[:, None]
-    index, weight = np.zeros(at.shape, np.int64), np.zeros((len(size), 1, FIT_WORDS), np.float32)
-    index[at], weight[:, 0][at] = term, value
     out = np.empty((len(size), 1, basis.shape[1]), np.float32)
     held = np.empty((32, FIT_WORDS, basis.shape[1]), np.float32)
-    for k in range(0, len(size), 32):
-        part = index[k : k + 32]
-        np.matmul(weight[k : k + 32], np.take(basis, part, axis=0, out=held[: len(part)], mode="clip"), out=out[k : k + 32])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    for low in range(0, len(size), FIT_ROW):
+        high = min(low + FIT_ROW, len(size))
+        at = np.arange(FIT_WORDS) < size[low:high, None]
+        index, weight = np.zeros(at.shape, np.int64), np.zeros((high - low, 1, FIT_WORDS), np.float32)
+        index[at], weight[:, 0][at] = term[edge[low] : edge[high]], value[edge[low] : edge[high]]
+        for k in range(0, high - low, 32):
+            part = index[k : k + 32]
+            np.matmul(weight[k : k + 32], np.take(basis, part, axis=0, out=held[: len(part)], mode="clip"), out=out[low + k : low + k + len(part)])
     return out[:, 0]
 
 
 def _add_transposed(out: np.ndarray, term: np.ndarray, value: np.ndarray, size: np.ndarray, low: np.ndarray) -> None:
     """Adds the transposed passages' vectors times ``low`` to ``out``, feature by feature."""
-    order = np.argsort(term.astype("<u2"), kind="stable")
-    row, value, term = np.repeat(np.arange(len(size)), size)[order], value[order], term[order]
+    order = np.argsort(term.astype("<u2", copy=False), kind="stable")
+    row, value, term = np.repeat(np.arange(len(size), dtype=np.int32), size)[order], value[order], term[order]
+    del order
     begin = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
     held = np.empty((256, low.shape[1]), np.float32)
     for t, a, z in zip(term[begin].tolist(), begin.tolist(), np.append(begin[1:], len(term)).tolist(), strict=True):
@@ -177,34 +187,40 @@ def _add_transposed(out: np.ndarray, term: np.ndarray, value: np.ndarray, size:
             out[t] += value[k:stop] @ np.take(low, row[k:stop], axis=0, out=held[: stop - k], mode="clip")
 
 
+def _gathered(batches, idf: np.ndarray, basis: np.ndarray, square: bool):
+    """The sum over passages p of p p' basis, or of its product with basis', in slices ``part, data`` of ``FIT_SLICE`` features."""
+    wide = basis.shape[1]
+    out = np.zeros((wide, wide) if square else (WIDTH, wide), np.float64 if square else np.float32)
+
+    def add(pdf: pd.DataFrame) -> None:
+        term, value, size = _weighed(pdf, idf)
+        low = _times(term, value, size, basis)
+        if square:
+            np.add(out, low.T @ low, out=out)
+        else:
+            _add_transposed(out, term, value, size, low)
+
+    for pdf in _joined(batches):
+        add(pdf)
+    kind = "<f8" if square else "<f4"
+    for k in range(0, len(out), FIT_SLICE):
+        yield pd.DataFrame({"part": [k], "data": [out[k : k + FIT_SLICE].astype(kind).tobytes()]})
+    trim()
+
+
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """A latent vector of each feature (features, rank), over the singular values, and these, from ``passages(terms, counts, sizes)``."""
     spark = passages.sparkSession
     wide = rank + OVERSAMPLE
 
-    def gathered(batches, basis: np.ndarray, square: bool):
-        """The sum over passages p of p p' basis, or of its product with basis'."""
-        out = np.zeros((wide, wide) if square else (WIDTH, wide), np.float64 if square else np.float32)
-        for pdf in _joined(batches):
-            term, value, size = _weighed(pdf, idf)
-            low = _times(term, value, size, basis)
-            if square:
-                out += low.T @ low
-            else:
-                _add_transposed(out, term, value, size, low)
-        kind = "<f8" if square else "<f4"
-        for k in range(0, len(out), 4096):
-            yield pd.DataFrame({"part": [k], "data": [out[k : k + 4096].astype(kind).tobytes()]})
-        trim()
-
     def product(basis: np.ndarray, square: bool) -> np.ndarray:
         sent = spark.sparkContext.broadcast(basis)
         with small_batches(spark, FIT_BATCH):
-            sums = _sum_parts(passages.mapInPandas(lambda it: gathered(it, sent.value, square), "part int, data binary"), "<f8" if square else "<f4")
+            sums = _sum_parts(passages.mapInPandas(lambda it: _gathered(it, idf, sent.value, square), "part int, data binary"), "<f8" if square else "<f4")
         sent.destroy()
         out = np.zeros((wide, wide) if square else (WIDTH, wide), np.float64 if square else np.float32)
         for k, x in sums.items():
-            out[k : k + 4096] = x.reshape(-1, wide)
+            out[k : k + FIT_SLICE] = x.reshape(-1, wide)
         return out
 
     basis = np.random.default_rng(seed).standard_normal((WIDTH, wide)).astype(np.float32)
