@@ -1,12 +1,15 @@
 """Disk: shuffle files go with the write that made them, and families are split before texts are sent."""
 
+import os
 import time
 
 import numpy as np
 import pyarrow as pa
 
+from wordloom.llm import decontamination as dc
+from wordloom.llm import graph
 from wordloom.llm import ngram_join as nj
-from wordloom.llm.shared import written
+from wordloom.llm.shared import shared_root, written
 
 
 def test_written_leaves_no_shuffle_files(spark):
@@ -92,3 +95,69 @@ def test_verified_edges_do_not_send_all_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # The texts pass the filter before the exchange of the join.
     assert plan.count("MapInArrow filtered") >= 1
+
+
+def _folder(spark) -> set[str]:
+    root = shared_root(spark).removeprefix("file://")
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def _named(before: set[str], spark) -> list[str]:
+    return sorted(x.rsplit("-", 1)[0] for x in _folder(spark) - before if not x.startswith("."))
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """A chain takes rounds in the logarithm of its length; links that one task holds are contracted there, more of them are joined in rounds."""
+    rng = np.random.default_rng(3)
+    pairs = {(k, k + 1) for k in range(1, 200)} | {tuple(x) for x in rng.integers(1000, 3000, (1200, 2)).tolist()} | {(9_000, k) for k in range(5000, 5400)} | {(-4, 8), (7, 7)}
+    links = spark.createDataFrame([(int(a), int(b)) for x in pairs for a, b in (x, x[::-1])], "a long, b long").repartition(4)
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in list(root)}
+    before = _folder(spark)
+    assert {r.node: r.component for r in graph.components(links).collect()} == want
+    assert _named(before, spark) == ["links", "links"]
+    before = _folder(spark)
+    monkeypatch.setattr(graph, "TASK_LINKS", 600)
+    assert {r.node: r.component for r in graph.components(links).collect()} == want
+    assert len(_named(before, spark)) > 2
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_near_duplicates_and_leaks_leave_one_table(spark):
+    """What an operator writes on its way to its result goes with it."""
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(i, text(i % 30) + (" and more" if i % 2 else "")) for i in range(90)]
+    docs = spark.createDataFrame([*rows, (None, text(3)), (500, None)], "doc_id long, text string")
+    before = _folder(spark)
+    kept = nj.near_duplicate_representatives(docs)
+    assert _named(before, spark) == ["gone"]
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [*range(30), 500] and kept.count() == 32
+    before = _folder(spark)
+    clean = dc.decontaminate(docs, spark.createDataFrame([(1, text(4, 40))], "item_id long, text string"))
+    assert _named(before, spark) == ["leaks"]
+    assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in clean.collect()} == {4, 34, 64}
+
+
+def test_fit_leaves_no_shuffle_files(spark):
+    """Each product of the fit sends a matrix a task, which goes with its job."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "shuffle_" in x and x.endswith(".data")}
+    parts = spark.range(64).repartition(8).selectExpr("cast(id % 4 as int) as part", "unhex(repeat('0500000000000000', 1000)) as data")
+    before = held()
+    got = dc._sum_parts(parts, "<i8")
+    assert sorted(got) == [0, 1, 2, 3] and all(len(x) == 1000 and (x == 80).all() for x in got.values())
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import settled, small_batches, swept, written
 from .textkit import U64, distinct, rows, shingles, trim, word_hashes
 
 WIDTH_BITS = 14
@@ -121,7 +121,8 @@ def _sum_parts(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
         return pd.DataFrame({"part": [key[0]], "data": [total.tobytes()]})
 
     some = parts.groupBy("part", F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane")).applyInPandas(add, "part int, data binary")
-    return {r.part: np.frombuffer(r.data, kind) for r in some.groupBy("part").applyInPandas(add, "part int, data binary").collect()}
+    with swept(parts.sparkSession):
+        return {r.part: np.frombuffer(r.data, kind) for r in some.groupBy("part").applyInPandas(add, "part int, data binary").collect()}
 
 
 def inverse_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
@@ -525,5 +526,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id leaks no item; all columns stay, and so do null ids."""
-    gone = written(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    gone = settled(docs.sparkSession, lambda: find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, joined
-from .shared import only, partitions, written
+from .shared import only, partitions, settled, swept, written
 from .textkit import U64, distinct, mix, rows, shingles, trim, word_hashes
 
 #: Share of documents, and their count, at which a shingle counts as frequent in the cost model.
@@ -291,9 +291,10 @@ def _among(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     A bit stands for each hash of a node, so texts are dropped where they are read and a join doesn't send them all.
     """
     spark = docs.sparkSession
-    bits = 1 << min(FILTER_MOST, max(FILTER_LEAST, (FILTER_EACH * nodes.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = nodes.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()
+    with swept(spark):
+        bits = 1 << min(FILTER_MOST, max(FILTER_LEAST, (FILTER_EACH * nodes.count()).bit_length()))
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        words = nodes.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()
     wanted = np.zeros(bits // 64, np.int64)
     wanted[words.column("word").to_numpy()] = words.column("set").to_numpy()
     sent = spark.sparkContext.broadcast(wanted)
@@ -594,7 +595,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     by_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    whole = by_id.agg(F.max(F.when(F.col("doc_id").isNotNull(), F.col("n"))).alias("n"), F.sum("chars").alias("chars")).first()
+    with swept(docs.sparkSession):
+        whole = by_id.agg(F.max(F.when(F.col("doc_id").isNotNull(), F.col("n"))).alias("n"), F.sum("chars").alias("chars")).first()
     if (whole.n or 0) < 2:
         return _node_components(docs, whole.chars or 0, size, t)
     # One node a text; nodes of one id are linked.
@@ -628,5 +630,5 @@ def near_duplicate_representatives(docs: DataFrame, size: int = 5, t: int = 75)
 
     Repeats of one doc_id stay as they are; a null doc_id stays. All columns are kept.
     """
-    gone = jaccard_components(only(docs, "doc_id", "text"), size, t).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = settled(docs.sparkSession, lambda: jaccard_components(only(docs, "doc_id", "text"), size, t).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +52,21 @@ def _setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
+def swept(spark: SparkSession):
+    """Shuffle files of what runs meanwhile go at the end of its job, not when the driver next collects its garbage."""
+    return _setting(spark, _CLEANUP, "true")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     """Arrow batches of at most ``rows`` rows for what runs meanwhile."""
     before = int(spark.conf.get(_BATCH))
     return _setting(spark, _BATCH, str(min(rows, before) if before > 0 else rows))
 
 
+#: Paths of the tables that were written since ``settled`` was called.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -64,11 +75,30 @@ def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with small_batches(spark, rows), _setting(spark, _CLEANUP, "true"):
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    with small_batches(spark, rows), swept(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, ``written``; the tables that were written on the way to it are deleted."""
+    outer = _MADE.get()
+    token = _MADE.set(made := [])
+    try:
+        out = written(make(), name)
+        kept = made.pop()
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if outer is not None:
+        outer.append(kept)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set to suit the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
